@@ -48,24 +48,29 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
 
 
 def with_stats(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the struct column ``name`` of the base statistics of the text."""
-    words, lines = free_name(df, "words"), free_name(df, "lines")
+    """Adds the struct column ``name`` of the base statistics of the text.
+
+    Words and lines are bound by ``let``: a filter on the statistics is pushed below
+    projections, where a column used inside a lambda would be computed for each element.
+    """
     whole = F.coalesce(F.col(text), F.lit(""))
-    out = df.withColumn(words, words_of(F.col(text)))
-    out = out.withColumn(lines, F.filter(F.split(whole, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     long = lambda c: c.cast("long")
-    stats = F.struct(
-        long(F.size(words)).alias("n_words"),
-        long(F.char_length(F.array_join(words, ""))).alias("word_chars"),
-        long(F.regexp_count(whole, F.lit(SYMBOLS))).alias("n_symbols"),
-        long(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
-        long(F.size(lines)).alias("n_lines"),
-        repeat_words(F.col(words)).alias("n_repeat_words"),
-        long(F.size(F.array_distinct(words))).alias("n_distinct"),
-        long(F.regexp_count(whole, F.lit("\\p{Lu}"))).alias("n_upper"),
-        long(F.regexp_count(whole, F.lit("[!?]"))).alias("n_shout"),
-    )
-    return out.withColumn(name, stats).drop(words, lines)
+
+    def stats(words: Column, lines: Column) -> Column:
+        return F.struct(
+            long(F.size(words)).alias("n_words"),
+            long(F.char_length(F.array_join(words, ""))).alias("word_chars"),
+            long(F.regexp_count(whole, F.lit(SYMBOLS))).alias("n_symbols"),
+            long(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
+            long(F.size(lines)).alias("n_lines"),
+            repeat_words(words).alias("n_repeat_words"),
+            long(F.size(F.array_distinct(words))).alias("n_distinct"),
+            long(F.regexp_count(whole, F.lit("\\p{Lu}"))).alias("n_upper"),
+            long(F.regexp_count(whole, F.lit("[!?]"))).alias("n_shout"),
+        )
+
+    lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    return df.withColumn(name, let(words_of(F.col(text)), lambda w: let(lines, lambda ls: stats(w, ls))))
 
 
 def base_failed(s: Column) -> Column:
@@ -127,11 +132,11 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tup
     # about sample_rows rows of an id and a flag: bounded, so it may be sent to every executor
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     of = with_stats(rows, "text", "s")
-    of = of.where(~base_failed(F.col("s")))  # those are decided already
     feats = features(F.col("s"))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(3)) == 0
 
-    sample = stored(of.select(fold.alias("fold"), "bad", *[feats[f].alias(f) for f in FEATURES]), "rules-sample")
+    sample = stored(of.select(fold.alias("fold"), "bad", base_failed(F.col("s")).alias("failed"), *[feats[f].alias(f) for f in FEATURES]), "rules-sample")
+    sample = sample.where("not failed")  # the others are decided already
     points = [i / 40 for i in range(41)]
     by_class = sample.groupBy("bad").agg(*[F.percentile_approx(f, points, 10_000).alias(f) for f in FEATURES]).collect()
     if len(by_class) < 2:
