@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
-from .common import table
+from . import near_dedup, packing, pu_quality, quality_rules, toxicity, va_topk
+from .common import held_out, table
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +27,60 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _scored(scores: DataFrame, least: float) -> DataFrame:
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _scored(pu_quality.score(docs, pu_quality.learn(docs, table(spark, sf_dir, "labels"))), 0.7)
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.label(table(spark, sf_dir, "documents"), n=4)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _scored(toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_exact_topk": op4_exact_topk,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_near_dedup": op6_near_dedup,
+    "op8_toxicity": op8_toxicity,
 }
 
 #: DuckDB SQL, where SQL can express the query.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM p QUALIFY rank <= 10""",
+    "op6_near_dedup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'),
+                               '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), i -> array_to_string(w[i:i + 3], ' '))) AS s FROM w WHERE len(w) > 0),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+        l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        reach(id, low) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT g.b, r.low FROM reach r JOIN both_ways g ON r.id = g.a),
+        c AS (SELECT id, min(low) AS low FROM reach GROUP BY id)
+        SELECT w.doc_id, coalesce(len(s.s), 0) AS n_shingles, coalesce(c.low, w.doc_id) AS component_id, coalesce(c.low, w.doc_id) = w.doc_id AS kept
+        FROM w LEFT JOIN s ON w.doc_id = s.doc_id LEFT JOIN c ON c.id = w.doc_id""",
+}
