@@ -22,6 +22,8 @@ empty table gives no rows; extra columns are kept by ``mix`` and never clash.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,38 +69,43 @@ def targets(by_source: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFram
 
 
 def rate(dual: Column, size: Column, mean: Column, most: int = MOST) -> Column:
-    return F.when(dual.isNull(), F.lit(float(most))).otherwise(F.exp(F.least(dual * size / mean, F.log(F.lit(float(most))))))
-
-
-def duals(counts: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
+    tilt = dual * size / mean
+    return F.when(dual.isNull() | (tilt >= math.log(most)), F.lit(float(most))).otherwise(F.exp(tilt))
+
+
+def newton_step(counts: DataFrame, state: DataFrame, most: int) -> DataFrame:
+    """One step for all sources of (s, target, mean, dual, low, high, off): one aggregate over the counts, which carries the state."""
+    kept = ["s", "target", "mean", "dual", "low", "high"]
+    met = counts.join(state.drop("off"), F.col("source").eqNullSafe(F.col("s")))
+    x, w = F.col("size") / F.col("mean"), rate(F.col("dual"), F.col("size"), F.col("mean"), most)
+    words = lambda v: F.sum(F.round(v * F.col("n") * UNIT).cast("decimal(38,0)")).cast("double") / UNIT
+    sums = met.groupBy(*kept).agg(words(F.col("size") * w).alias("f"), words(F.when(F.col("dual") * x < math.log(most), F.col("size") * w * x).otherwise(0.0)).alias("g"))
+    # in layers: each expression stands once in the plan
+    out = sums.withColumn("by", F.log(F.greatest(F.col("f"), F.lit(1e-9)) / F.col("target"))).withColumn("off", F.abs("by"))
+    out = out.withColumn("low", F.when(F.col("by") < 0, F.col("dual")).otherwise(F.col("low"))).withColumn("high", F.when(F.col("by") > 0, F.col("dual")).otherwise(F.col("high")))
+    out = out.withColumn("newton", F.col("dual") + F.greatest(F.least(-F.col("by") * F.col("f") / F.greatest(F.col("g"), F.lit(1e-300)), F.lit(8.0)), F.lit(-8.0)))
+    newton, low, high = F.col("newton"), F.col("low"), F.col("high")
+    inside = (newton > F.coalesce(low, F.lit(-1e300))) & (newton < F.coalesce(high, F.lit(1e300)))
+    moved = F.when(F.col("off") <= CLOSE, F.col("dual")).when(inside, newton).otherwise((F.coalesce(low, newton) + F.coalesce(high, newton)) / 2)
+    return out.select("s", "target", "mean", moved.alias("dual"), "low", "high", "off")
+
+
+def duals(counts: DataFrame, goals: DataFrame, most: int = MOST, together: int = 3) -> DataFrame:
     """Adds dual (null: all documents ``most`` times) and mean to ``goals`` by Newton steps over (source, size, n)."""
-    at = stored(goals.select(
-        "source", "target", (F.col("source_size") / F.greatest(F.col("n"), F.lit(1))).alias("mean"), F.col("source_size"),
-        F.when(F.col("target") < most * F.col("source_size") * (1 - 1e-12), F.log(F.greatest(F.col("target"), F.lit(1e-9)) / F.greatest(F.col("source_size"), F.lit(1)))).alias("dual"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(1.0).alias("off"),
-    ), "duals")
-    for _ in range(ROUNDS):
-        open_ = at.where("dual is not null and off > %g and target > 0" % CLOSE)
-        state = open_.select(F.col("source").alias("s"), "dual", "mean")
-        x, w = F.col("size") / F.col("mean"), rate(F.col("dual"), F.col("size"), F.col("mean"), most)
-        words = lambda v: F.sum(F.round(v * F.col("n") * UNIT).cast("decimal(38,0)")).cast("double") / UNIT
-        met = sized_join(counts.where("size > 0"), state, F.col("source").eqNullSafe(F.col("s")), "inner")
-        sums = met.groupBy("s").agg(words(F.col("size") * w).alias("f"), words(F.when(w < most, F.col("size") * w * x).otherwise(0.0)).alias("g"))
-        both = at.join(sums.select("s", F.lit(True).alias("there"), "f", "g"), F.col("source").eqNullSafe(F.col("s")), "left")
-        ratio = F.log(F.col("f") / F.col("target"))
-        low = F.when(ratio < 0, F.col("dual")).otherwise(F.col("low"))
-        high = F.when(ratio > 0, F.col("dual")).otherwise(F.col("high"))
-        step = F.greatest(F.least(-ratio * F.col("f") / F.greatest(F.col("g"), F.lit(1e-300)), F.lit(8.0)), F.lit(-8.0))
-        newton = F.col("dual") + step
-        inside = (newton > F.coalesce(low, newton - 1)) & (newton < F.coalesce(high, newton + 1))
-        moved = F.when(F.abs(ratio) <= CLOSE, F.col("dual")).when(inside, newton).otherwise((F.coalesce(low, newton) + F.coalesce(high, newton)) / 2)
-        at = stored(both.select(
-            "source", "target", "mean", "source_size", F.when(F.col("there"), moved).otherwise(F.col("dual")).alias("dual"),
-            F.when(F.col("there"), low).otherwise(F.col("low")).alias("low"), F.when(F.col("there"), high).otherwise(F.col("high")).alias("high"),
-            F.when(F.col("there"), F.abs(ratio)).when(F.col("off") <= CLOSE, F.col("off")).otherwise(F.lit(0.0)).alias("off"),
-        ), "duals")
-        if at.where("dual is not null and off > %g and target > 0" % CLOSE).isEmpty():
+    counts = counts.where("size > 0")
+    guess = F.log(F.greatest(F.col("target"), F.lit(1e-9)) / F.greatest(F.col("source_size"), F.lit(1)))
+    base = goals.select("source", "target", "source_size", (F.col("source_size") / F.greatest(F.col("n"), F.lit(1))).alias("mean"), guess.alias("guess"))
+    # capped sources take every document ``most`` times and have no dual
+    free = base.where((F.col("target") > 0) & (F.col("target") < most * F.col("source_size") * (1 - 1e-12)))
+    none = F.lit(None).cast("double")
+    state = stored(free.select(F.col("source").alias("s"), "target", "mean", F.col("guess").alias("dual"), none.alias("low"), none.alias("high"), F.lit(1.0).alias("off")), "duals")
+    for _ in range(ROUNDS // together):
+        for _ in range(together):
+            state = newton_step(counts, state, most)
+        state = stored(state, "duals")
+        if state.where(f"off > {CLOSE}").isEmpty():
             break
-    return at.select("source", "target", "source_size", "mean", "dual")
+    return base.join(state.select("s", "dual"), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "target", "source_size", "mean", "dual")
 
 
 def size_class(size: Column) -> Column:
