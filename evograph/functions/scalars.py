@@ -15,12 +15,12 @@ def log2_up(x: Column) -> Column:
 
 
 def next_power(x: Column) -> Column:
-    return F.shiftleft(F.lit(1).cast("long"), log2_up(x).cast("int"))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), log2_up(x).cast("int"))
 
 
 def previous_power(x: Column) -> Column:
     """Greatest power of two that is at most x, for x >= 1."""
-    return F.shiftleft(F.lit(1).cast("long"), F.length(F.bin(x)) - 1)
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(x)) - 1)
 
 
 def round_up(x: Column, unit: int) -> Column:

@@ -15,7 +15,7 @@ BASE, DAMPING = 0.15, 0.85
 
 def degrees(edges: DataFrame) -> DataFrame:
     """id, in_degree, out_degree of every endpoint, by one aggregate over both ends."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("in")), F.struct(F.col("tgt"), F.lit(0), F.lit(1)))).alias("e"))
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("in")), F.struct(F.col("tgt").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("in")))).alias("e"))
     return ends.groupBy(F.col("e.id").alias("id")).agg(F.sum("e.in").alias("in_degree"), F.sum("e.out").alias("out_degree"))
 
 

@@ -24,7 +24,7 @@ def with_sequence(df: DataFrame, *order: str, name: str = "seq") -> DataFrame:
 
 def rewritten_ids(edges: DataFrame) -> DataFrame:
     """(old_id, new_id): dense ids in the order in which (seq, src, tgt) shows them first, src before tgt."""
-    seen = edges.select(F.explode(F.array(F.struct(F.col("src").alias("old_id"), (2 * F.col("seq")).alias("at")), F.struct(F.col("tgt"), 2 * F.col("seq") + 1))).alias("s"))
+    seen = edges.select(F.explode(F.array(F.struct(F.col("src").alias("old_id"), (2 * F.col("seq")).alias("at")), F.struct(F.col("tgt").alias("old_id"), (2 * F.col("seq") + 1).alias("at")))).alias("s"))
     first = seen.groupBy(F.col("s.old_id").alias("old_id")).agg(F.min("s.at").alias("at"))
     return with_sequence(first, "at", name="new_id").select("old_id", "new_id")
 

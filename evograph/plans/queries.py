@@ -119,8 +119,8 @@ def snapshot_results(spark, sf_dir):
     return spark.read.parquet(path).select(F.col("batch_id").cast("long").alias("batch_id"), "id", "dist")
 
 
-FIRST_SEEN = GE + """, f AS (SELECT id, min(at) AS at FROM (SELECT src AS id, 2 * seq AS at FROM e UNION ALL SELECT tgt, 2 * seq + 1 FROM e) GROUP BY id),
-    n AS (SELECT id, row_number() OVER (ORDER BY at) - 1 AS new_id FROM f) """
+FIRST_SEEN = GE + """, f AS (SELECT id, min(pos) AS pos FROM (SELECT src AS id, 2 * seq AS pos FROM e UNION ALL SELECT tgt, 2 * seq + 1 FROM e) GROUP BY id),
+    n AS (SELECT id, row_number() OVER (ORDER BY pos) - 1 AS new_id FROM f) """
 
 
 @query(FIRST_SEEN + "SELECT seq, s.new_id AS src, t.new_id AS tgt FROM e JOIN n s ON e.src = s.id JOIN n t ON e.tgt = t.id")
@@ -154,7 +154,7 @@ def in_memory_ingest(spark, sf_dir):
 @query(f"WITH {o.G}, {o.V}, d AS (SELECT src AS id, count(*) AS n FROM g GROUP BY src), m AS (SELECT tgt AS id, min(weight) AS w FROM g GROUP BY tgt) SELECT v.id, coalesce(n, 0) AS out_degree, w AS least_weight FROM v LEFT JOIN d ON v.id = d.id LEFT JOIN m ON v.id = m.id")
 def shared_scan_multi(spark, sf_dir):
     """Two aggregates over one scan of the edges."""
-    ends = g(spark, sf_dir).select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("n"), F.lit(None).cast("double").alias("w")), F.struct(F.col("tgt"), F.lit(0), F.col("weight")))).alias("x"))
+    ends = g(spark, sf_dir).select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("n"), F.lit(None).cast("double").alias("w")), F.struct(F.col("tgt").alias("id"), F.lit(0).alias("n"), F.col("weight").alias("w")))).alias("x"))
     return ends.groupBy(F.col("x.id").alias("id")).agg(F.sum("x.n").alias("out_degree"), F.min("x.w").alias("least_weight"))
 
 
@@ -717,10 +717,10 @@ def size_stats(spark, sf_dir):
     return post.size_stats(tiles.counts(_tiled(spark, sf_dir)), "n_edges")
 
 
-@query("""WITH c AS (SELECT event_type, user_id // 10 AS at, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, at, n, n - coalesce(lag(n) OVER (PARTITION BY event_type ORDER BY at), 0) AS delta FROM c""")
+@query("""WITH c AS (SELECT event_type, user_id // 10 AS slot, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, slot, n, n - coalesce(lag(n) OVER (PARTITION BY event_type ORDER BY slot), 0) AS delta FROM c""")
 def interval_deltas(spark, sf_dir):
-    counters = table(spark, sf_dir, "events").groupBy("event_type", F.floor(F.col("user_id") / 10).alias("at")).agg(F.count("*").alias("n"))
-    return post.interval_deltas(counters, "event_type", "at", "n")
+    counters = table(spark, sf_dir, "events").groupBy("event_type", F.floor(F.col("user_id") / 10).alias("slot")).agg(F.count("*").alias("n"))
+    return post.interval_deltas(counters, "event_type", "slot", "n")
 
 
 # --- helpers ---------------------------------------------------------------------

@@ -46,7 +46,7 @@ def vertices(edges: DataFrame) -> DataFrame:
 def dense_domain(edges: DataFrame) -> DataFrame:
     """All ids of the least power-of-two range that holds every endpoint."""
     top = edges.agg(F.max(F.greatest("src", "tgt")).alias("top"))
-    size = F.shiftleft(F.lit(1).cast("long"), F.when(F.col("top") > 0, F.length(F.bin("top"))).otherwise(0))
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), F.when(F.col("top") > 0, F.length(F.bin("top"))).otherwise(0))
     return top.where("top is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), size - 1)).alias("id"))
 
 
