@@ -109,7 +109,8 @@ def duals(counts: DataFrame, goals: DataFrame, most: int = MOST, together: int =
 
 
 def size_class(size: Column) -> Column:
-    return F.when(size > 0, F.floor(F.log2(size.cast("double"))).cast("int")).otherwise(-1)
+    """Quarters of powers of two: in small sources a class is a document or two, so that words are made up for finely."""
+    return F.when(size > 0, F.floor(4 * F.log2(size.cast("double"))).cast("int")).otherwise(-1)
 
 
 def shifts(slim: DataFrame, rates: DataFrame, most: int = MOST) -> DataFrame:
