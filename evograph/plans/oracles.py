@@ -47,11 +47,11 @@ def quant(column: str, name: str = "rank_q") -> str:
 BFS_ROUNDS = rounds("SELECT id, CAST(0 AS BIGINT) AS value FROM s", "r.value + 1", "min")
 CC_ROUNDS = rounds("SELECT id, id AS value FROM v", "r.value", "min")
 SSSP_ROUNDS = rounds("SELECT id, CAST(0 AS DOUBLE) AS value FROM s", "r.value + x.weight", "min")
-SSWP_ROUNDS = rounds("SELECT id, CAST('infinity' AS DOUBLE) AS value FROM s", "least(r.value, x.weight)", "max")
+SSWP_ROUNDS = rounds("SELECT id, CAST('infinity' AS DOUBLE) AS value FROM s", "least(r.value, x.weight)", "max", 100)
 BFS = f"WITH {G}, {S}, {BFS_ROUNDS} SELECT id, value AS dist FROM r40"
 CC = f"WITH {G}, {V}, {CC_ROUNDS} SELECT id, value AS label FROM r40"
 SSSP = f"WITH {G}, {S}, {SSSP_ROUNDS} SELECT id, value AS dist FROM r40"
-SSWP = f"WITH {G}, {S}, {SSWP_ROUNDS} SELECT id, value AS width FROM r40 WHERE value < 'infinity'::DOUBLE"
+SSWP = f"WITH {G}, {S}, {SSWP_ROUNDS} SELECT id, value AS width FROM r100 WHERE value < 'infinity'::DOUBLE"
 PAGERANK = f"WITH {G}, {ranks()} SELECT id, {quant('rank')} FROM p10"
 
 #: Four batches of inserts; each batch also deletes some of the edges that the one before inserted.
@@ -60,8 +60,8 @@ LIVE = "le AS MATERIALIZED (SELECT CAST(k.k AS BIGINT) AS batch_id, src, tgt, we
 LIVE_INSERTS = "le AS MATERIALIZED (SELECT CAST(k.k AS BIGINT) AS batch_id, src, tgt, weight FROM b JOIN range(0, 4) k(k) ON b.batch <= k.k)"
 
 
-def evolving(init: str, message: str, fold: str, column: str, live: str = LIVE, where: str = "") -> str:
-    return f"WITH {G}, {E}, {S}, {LOG}, {live}, {rounds(init, message, fold, 40, 'le', 'batch_id')} SELECT batch_id, id, value AS {column} FROM r40 {where}"
+def evolving(init: str, message: str, fold: str, column: str, live: str = LIVE, where: str = "", n: int = 40) -> str:
+    return f"WITH {G}, {E}, {S}, {LOG}, {live}, {rounds(init, message, fold, n, 'le', 'batch_id')} SELECT batch_id, id, value AS {column} FROM r{n} {where}"
 
 
 STARTS = "SELECT CAST(k AS BIGINT) AS batch_id, id, CAST({0}) AS value FROM s, range(0, 4) t(k)"

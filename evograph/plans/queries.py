@@ -581,7 +581,7 @@ def evolving_sssp(spark, sf_dir):
     return _from_start(spark, sf_dir, 0.0, engine.SSSP, "dist", "double", deletes=False)
 
 
-@query(o.evolving(o.STARTS.format("'infinity' AS DOUBLE"), "least(r.value, x.weight)", "max", "width", o.LIVE, "WHERE value < 'infinity'::DOUBLE"))
+@query(o.evolving(o.STARTS.format("'infinity' AS DOUBLE"), "least(r.value, x.weight)", "max", "width", o.LIVE, "WHERE value < 'infinity'::DOUBLE", 100))
 def evolving_sswp(spark, sf_dir):
     return _from_start(spark, sf_dir, float("inf"), engine.SSWP, "width", "double").where(F.col("width") < float("inf"))
 
