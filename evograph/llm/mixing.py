@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, sized_join, stored, words_of
+from .common import free_name, let, sized_join, stored, words_of
 
 WEIGHTS = (1, 2, 3)
 #: Most copies of a document, and the most of its size that a source's target may be.
@@ -190,5 +190,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     side = by_source.select(F.col("source").alias(f"{p}_s"), F.struct("mean", "dual", "shifts").alias(p))
     joined = sized_join(docs, side, F.col("source").eqNullSafe(F.col(f"{p}_s")))
     size, u = F.size(words_of(F.col("text"))).cast("long"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
-    some = joined.withColumn(n, F.array_repeat(F.lit(0), copies(size, u, F.col(p), most)))
+    # bound by let: the size, which splits the text, stands in many places of the expression
+    facts = F.struct(size.alias("size"), u.alias("u"))
+    some = joined.withColumn(n, let(facts, lambda x: F.array_repeat(F.lit(0), copies(x["size"], x["u"], F.col(p), most))))
     return some.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(n).alias(n)).drop(n)
