@@ -32,7 +32,7 @@ from .common import stored
 
 CAPACITY = 2048
 #: Words whose ids a worker keeps; beyond it the store starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank_in_task long"
 
