@@ -11,6 +11,8 @@ def parts_in_order(where: str = "") -> str:
 
 #: The sparse graph as g, its edges numbered as e, its start vertex as s, its vertices as v.
 G = f"g AS MATERIALIZED ({parts_in_order('WHERE l_orderkey % 20 = 0')})"
+#: The graph of all orders, also as g.
+WHOLE = f"g AS MATERIALIZED ({parts_in_order()})"
 E = "e AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY src, tgt) - 1 AS seq FROM g)"
 S = "s AS MATERIALIZED (SELECT src AS id FROM g GROUP BY src ORDER BY count(*) DESC, src LIMIT 1)"
 V = "v AS MATERIALIZED (SELECT src AS id FROM g UNION SELECT tgt FROM g)"

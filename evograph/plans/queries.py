@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,11 +37,17 @@ def query(sql: str | None = None, name: str | None = None):
 
 PER_TILE, SHARDS = 64, 6
 GE = f"WITH {o.G}, {o.E} "
-g = graphs.sparse
+
+#: The graph that queries read: the sparse one, or all of lineitem inside a query named ``..._whole``.
+_read: ContextVar[Callable[[SparkSession, str], DataFrame]] = ContextVar("graph", default=graphs.sparse)
+
+
+def g(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read.get()(spark, sf_dir)
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sparse graph's edges with seq in the order of (src, tgt)."""
+    """The graph's edges with seq in the order of (src, tgt)."""
     return with_sequence(g(spark, sf_dir), "src", "tgt")
 
 
@@ -735,3 +742,23 @@ def hash_functions(spark, sf_dir):
 def power_of_two_helpers(spark, sf_dir):
     x = F.col("x")
     return spark.range(1, 1001).withColumnRenamed("id", "x").select("x", scalars.log2_up(x).alias("up"), scalars.next_power(x).alias("next"), scalars.previous_power(x).cast("long").alias("previous"), scalars.round_up(x, 16).alias("rounded"))
+
+
+# --- whole table -----------------------------------------------------------------
+
+
+def _whole(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query on the graph of all orders."""
+
+    def on_all(spark, sf_dir):
+        token = _read.set(graphs.dense)
+        try:
+            return f(spark, sf_dir)
+        finally:
+            _read.reset(token)
+
+    return on_all
+
+
+for _name in [n for n in QUERIES if o.G in ORACLE_SQL.get(n, "") or n in ("sssp_delta", "delta_sweep")]:
+    query(ORACLE_SQL[_name].replace(o.G, o.WHOLE) if _name in ORACLE_SQL else None, f"{_name}_whole")(_whole(QUERIES[_name]))
