@@ -599,6 +599,19 @@ def evolving_cc(spark, sf_dir):
     return incremental.stacked(incremental.evolve(_batches(spark, sf_dir, False), labels, engine.CC, labels), "label", "long")
 
 
+@query(o.evolving(o.STARTS.format("0 AS DOUBLE"), "r.value + x.weight", "min", "dist"))
+def evolving_sssp_deletes(spark, sf_dir):
+    """The same on the log with deletions."""
+    return _from_start(spark, sf_dir, 0.0, engine.SSSP, "dist", "double")
+
+
+@query(o.evolving("SELECT DISTINCT batch_id, id, id AS value FROM (SELECT batch_id, src AS id FROM le UNION ALL SELECT batch_id, tgt FROM le)", "r.value", "min", "label"))
+def evolving_cc_deletes(spark, sf_dir):
+    """The same on the log with deletions."""
+    labels = lambda live: graphs.vertices(live).select("id", F.col("id").alias("value"))
+    return incremental.stacked(incremental.evolve(_batches(spark, sf_dir), labels, engine.CC, labels), "label", "long")
+
+
 def _evolving_ranks_sql() -> str:
     parts = [f"l{k} AS MATERIALIZED (SELECT src, tgt FROM le WHERE batch_id = {k}), {o.ranks(5, f'l{k}', f'p{k}_')}" for k in range(4)]
     return f"WITH {o.G}, {o.E}, {o.LOG}, {o.LIVE}, {', '.join(parts)} " + " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS batch_id, id, {o.quant('rank')} FROM p{k}_5" for k in range(4))

@@ -95,6 +95,16 @@ def test_tree_and_other_deletions(spark):
     assert not restarted and values(after) == {0: 0, 1: 1, 2: 1}
 
 
+def test_components_under_deletions(spark):
+    """Vertices that lose their last edge leave, also where no label went along it; one comes back."""
+    labels = lambda e: graphs.vertices(e).select("id", F.col("id").alias("value"))
+    first, second, third = [(5, 3), (0, 1), (1, 2)], [(0, 1), (1, 2)], [(0, 1), (1, 2), (3, 4), (2, 6)]
+    logs = [(first, []), (second, [(5, 3)]), (third, []), (third[:1] + third[2:], [(1, 2)])]
+    got = incremental.evolve([(edges(spark, a), edges(spark, b)) for a, b in logs], labels, engine.CC, labels)
+    assert [values(s) for s, _ in got] == [values(alg.components(edges(spark, a))) for a, _ in logs]
+    assert [r for _, r in got] == [True, False, False, True]
+
+
 def test_mutation(spark):
     twice = edges(spark, [(0, 1, 2), (0, 1, 1), (1, 1, 1)])
     assert sorted(map(tuple, mutate.compact(twice).collect())) == [(0, 1, 1.0), (1, 1, 1.0)]
