@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,32 +69,35 @@ def prepared(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     return edges.select("src", "tgt", F.col("weight").cast("double"), F.lit(False).alias("own")).unionByName(own).repartition("src").persist()
 
 
-def run(edges: DataFrame, state: DataFrame, program: VertexProgram, max_rounds: int = 100, together: int = 4, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Supersteps from ``state`` (id, value, changed) to the fixpoint, ``max_rounds`` at most; (id, value, changed).
+def run(edges: DataFrame, state: DataFrame, program: VertexProgram, max_rounds: int | None = None, together: int = 4, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Supersteps from ``state`` (id, value, changed) to the fixpoint; (id, value, changed).
 
     ``together`` supersteps are planned and run at once: rounds past the fixpoint move nothing.
+    A program that has no fixpoint (paths around a cycle of negative weight) needs
+    ``max_rounds``: if something still changed in the last of them, RuntimeError is raised.
     """
     spark = edges.sparkSession
     with static_plans(spark):
         done = 0
-        while done < max_rounds:
-            for _ in range(min(together, max_rounds - done)):
+        while True:
+            for _ in range(together if max_rounds is None else min(together, max_rounds - done)):
                 for _ in range(program.hops):
                     state = superstep(edges, state, program, keys)
                 done += 1
             state = cut(state)
             if state.where("changed").isEmpty():
-                break
-    return state
+                return state
+            if max_rounds is not None and done >= max_rounds:
+                raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
-def trace(edges: DataFrame, state: DataFrame, program: VertexProgram, rounds: int) -> DataFrame:
-    """iteration, active_vertices, active_edges, changed of each superstep up to the fixpoint, ``rounds`` at most."""
+def trace(edges: DataFrame, state: DataFrame, program: VertexProgram, rounds: int | None = None) -> DataFrame:
+    """iteration, active_vertices, active_edges, changed of each superstep up to the fixpoint, or of the first ``rounds``."""
     spark = edges.sparkSession
     degrees = edges.where("not own").groupBy("src").agg(F.count("*").alias("d"))
     rows = []
     with static_plans(spark):
-        for k in range(1, rounds + 1):
+        for k in count(1) if rounds is None else range(1, rounds + 1):
             front = state.where("changed").join(degrees, F.col("id") == F.col("src"), "left").agg(F.count("*").alias("v"), F.coalesce(F.sum("d"), F.lit(0)).alias("e")).first()
             state = cut(superstep(edges, state, program))
             n = state.where("changed").count()

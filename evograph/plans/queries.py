@@ -412,7 +412,7 @@ def critical_neighbor(spark, sf_dir):
 def superstep_stats(spark, sf_dir):
     e = g(spark, sf_dir)
     kept, start = engine.prepared(e), cut(graphs.start_vertex(e))
-    return engine.trace(kept, engine.seeded(start.select("id", F.lit(0).cast("long").alias("value"))), engine.BFS, 100)
+    return engine.trace(kept, engine.seeded(start.select("id", F.lit(0).cast("long").alias("value"))), engine.BFS)
 
 
 @query(f"WITH {o.G}, {o.S}, {o.BFS_ROUNDS} SELECT value AS iteration, count(*) AS changed FROM r40 WHERE value > 0 GROUP BY value")
@@ -469,7 +469,7 @@ def vertex_program_custom(spark, sf_dir):
     fading = engine.VertexProgram(lambda v, w, s: F.greatest(v - 1, F.lit(0)), F.max, lambda new, old: new > old)
     kept = engine.prepared(g(spark, sf_dir))
     begin = engine.seeded(kept.where("own").select(F.col("src").alias("id"), (F.col("src") % 1000).alias("value")))
-    return engine.run(kept, begin, fading, max_rounds=40).select("id", "value")
+    return engine.run(kept, begin, fading).select("id", "value")
 
 
 # --- algorithms ------------------------------------------------------------------

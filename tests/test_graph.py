@@ -105,6 +105,16 @@ def test_components_under_deletions(spark):
     assert [r for _, r in got] == [True, False, False, True]
 
 
+def test_long_paths_are_followed_to_their_end(spark):
+    n = 103
+    long = edges(spark, [(i, i + 1) for i in range(n)])
+    begin = start(spark).select("id", F.lit(0).alias("value"))
+    assert values(alg.bfs(long, start(spark))) == {i: i for i in range(n + 1)}
+    with pytest.raises(RuntimeError):
+        engine.run(engine.prepared(edges(spark, PATH)), engine.seeded(begin), engine.BFS, max_rounds=3)
+    assert engine.run(engine.prepared(edges(spark, PATH)), engine.seeded(begin), engine.BFS, max_rounds=5).count() == 5
+
+
 def test_mutation(spark):
     twice = edges(spark, [(0, 1, 2), (0, 1, 1), (1, 1, 1)])
     assert sorted(map(tuple, mutate.compact(twice).collect())) == [(0, 1, 1.0), (1, 1, 1.0)]
