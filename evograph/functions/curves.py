@@ -45,7 +45,7 @@ def hilbert_cell(d: Column, n: int) -> Column:
     return F.aggregate(order, start, step, lambda a: F.struct(a["x"].cast("long").alias("x"), a["y"].cast("long").alias("y")))
 
 
-def row_index(x: Column, y: Column, n: int) -> Column:
+def row_index(x: Column, y: Column, n: int | Column) -> Column:
     return (y * n + x).cast("long")
 
 

@@ -20,11 +20,18 @@ def rejected(edges: DataFrame, domain: int) -> DataFrame:
     return edges.where((F.col("src") < 0) | (F.col("tgt") < 0) | (F.col("src") >= domain) | (F.col("tgt") >= domain))
 
 
-def tile_id(x: Column, y: Column, per_side: int) -> Column:
+def sided(of: DataFrame, least: int) -> DataFrame:
+    """Adds side: ``least``, doubled until every tile fits."""
+    top = of.agg(F.coalesce(F.max(F.greatest("tile_x", "tile_y")), F.lit(0)).alias("top"))  # one row
+    side = F.greatest(F.lit(least).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin("top"))))
+    return of.crossJoin(F.broadcast(top.select(side.alias("side"))))
+
+
+def tile_id(x: Column, y: Column, per_side: int | Column) -> Column:
     return (x * per_side + y).cast("long")
 
 
-def tile_cell(t: Column, per_side: int) -> tuple[Column, Column]:
+def tile_cell(t: Column, per_side: int | Column) -> tuple[Column, Column]:
     return F.floor(t / per_side).cast("long"), (t % per_side).cast("long")
 
 

@@ -297,11 +297,23 @@ def degrees(spark, sf_dir):
     return algorithms.degrees(g(spark, sf_dir))
 
 
+def tile_ids(tiled: DataFrame) -> DataFrame:
+    """tile_x, tile_y, tile_id and the cell that the id stands for."""
+    t = tiles.sided(tiled.select("tile_x", "tile_y").distinct(), 4096).withColumn("tile_id", tiles.tile_id(F.col("tile_x"), F.col("tile_y"), F.col("side")))
+    x, y = tiles.tile_cell(F.col("tile_id"), F.col("side"))
+    return t.withColumns({"back_x": x, "back_y": y}).drop("side")
+
+
+def meta_tiles(tiled: DataFrame) -> DataFrame:
+    """tile_x, tile_y and their meta tile by rows and by cells."""
+    t = tiles.sided(tiles.counts(tiled), 4096)
+    at = F.floor(curves.row_index(F.col("tile_x"), F.col("tile_y"), F.col("side")) / 16)
+    return t.select("tile_x", "tile_y", at.alias("meta"), F.floor(F.col("tile_x") / 4).alias("meta_x"), F.floor(F.col("tile_y") / 4).alias("meta_y"))
+
+
 @query(TILED + "SELECT DISTINCT tile_x, tile_y, tile_x * 4096 + tile_y AS tile_id, tile_x AS back_x, tile_y AS back_y FROM t")
 def tile_coords(spark, sf_dir):
-    t = _tiled(spark, sf_dir).select("tile_x", "tile_y").distinct().withColumn("tile_id", tiles.tile_id(F.col("tile_x"), F.col("tile_y"), 4096))
-    x, y = tiles.tile_cell(F.col("tile_id"), 4096)
-    return t.withColumns({"back_x": x, "back_y": y})
+    return tile_ids(_tiled(spark, sf_dir))
 
 
 @query(f"WITH {o.G} SELECT src, src % {PER_TILE} AS local_src, src AS global_src FROM (SELECT DISTINCT src FROM g)")
@@ -317,9 +329,7 @@ def shard_assign(spark, sf_dir):
 
 @query(TILED + "SELECT tile_x, tile_y, (tile_y * 4096 + tile_x) // 16 AS meta, tile_x // 4 AS meta_x, tile_y // 4 AS meta_y FROM c")
 def meta_tile_assign(spark, sf_dir):
-    t = tiles.counts(_tiled(spark, sf_dir))
-    at = F.floor(curves.row_index(F.col("tile_x"), F.col("tile_y"), 4096) / 16)
-    return t.select("tile_x", "tile_y", at.alias("meta"), F.floor(F.col("tile_x") / 4).alias("meta_x"), F.floor(F.col("tile_y") / 4).alias("meta_y"))
+    return meta_tiles(_tiled(spark, sf_dir))
 
 
 @query(TILED + "SELECT tile_x // 4 AS meta_x, tile_y // 4 AS meta_y, count(*) AS n_edges FROM t GROUP BY 1, 2")

@@ -11,6 +11,7 @@ from evograph.functions import curves, scalars
 from evograph.operators import algorithms as alg
 from evograph.operators import engine, incremental, mutate, post, tiles
 from evograph.operators.sequence import rewrite, with_sequence
+from evograph.plans import queries
 from evograph.sources import edge_io, graphs
 from evograph.streaming import runner
 
@@ -134,6 +135,16 @@ def test_tiles(spark):
     assert [r["compactions"] for r in tiles.compactions(size, 4).collect()] == [0, 0, 1, 1, 2, 3]
 
 
+def test_tile_ids_of_large_graphs(spark):
+    """Ids past 4096 tiles of 64: cells come back, and distant tiles share no id."""
+    e = tiles.assign(edges(spark, [(0, 64 * 4096), (64, 0), (64 * 5000, 64 * 9000), (7, 7)]), 64)
+    rows = queries.tile_ids(e).collect()
+    assert len({r["tile_id"] for r in rows}) == 4 and all((r["back_x"], r["back_y"]) == (r["tile_x"], r["tile_y"]) for r in rows)
+    metas = {(r["tile_x"], r["tile_y"]): r["meta"] for r in queries.meta_tiles(tiles.assign(edges(spark, [(64 * 4096, 0), (0, 64), (64, 64)]), 64)).collect()}
+    assert metas[4096, 0] != metas[0, 1] == metas[1, 1]
+    assert {r["tile_id"] for r in queries.tile_ids(tiles.assign(edges(spark, [(64, 128)]), 64)).collect()} == {4096 + 2}
+
+
 @pytest.mark.parametrize("n", [1, 2, 4, 16])
 def test_hilbert_is_a_bijection(spark, n):
     cells = spark.range(n * n).select(F.floor(F.col("id") / n).alias("x"), (F.col("id") % n).alias("y"))
