@@ -15,9 +15,9 @@ What leaves a pair of blocks is at most k rows a query. Queries meet data in blo
 only; no pair is ever a row.
 
 Defined cases: vectors that are null or hold null or non-finite components take no
-part, as do null ids; shorter vectors count as padded with zeros; components are
-limited to +-2**26 after scaling; repeated ids count each, but a query never meets its
-own id; ties go to the smaller id; an empty table gives no rows; extra columns are not
+part, as do null ids; shorter vectors count as padded with zeros; a component of 2**63
+or more after scaling, or a score of the best k that no long holds, is an error;
+repeated ids count each, but a query never meets its own id; ties go to the smaller id; an empty table gives no rows; extra columns are not
 looked at.
 """
 
@@ -38,11 +38,12 @@ DATA_BLOCK, QUERY_BLOCK = 1024, 512
 SENT_BLOCKS = 64
 #: Rows from which the marks of the cells are taken; marks change speed, never results.
 MARK_ROWS = 20_000
-LIMIT = 1 << 26
+LIMIT = float(1 << 63)
 
 
 def whole(embedding: Column, scale: int) -> Column:
-    x = F.transform(embedding, lambda v: F.greatest(F.least(F.floor(v.cast("double") * scale), F.lit(LIMIT)), F.lit(-LIMIT)).cast("int"))
+    far = F.raise_error(F.lit("a component is too large for 64 bits after scaling")).cast("long")
+    x = F.transform(embedding, lambda v: F.when(F.abs(v.cast("double") * scale) >= LIMIT, far).otherwise(F.floor(v.cast("double") * scale)))
     bad = F.exists(embedding, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     return F.when(embedding.isNotNull() & ~bad, x)
 
@@ -55,7 +56,7 @@ def usable(df: DataFrame, scale: int) -> DataFrame:
 
 
 def _matrix(lists: list, dims: int) -> np.ndarray:
-    out = np.zeros((len(lists), dims), np.int32)
+    out = np.zeros((len(lists), dims), np.int64)
     for i, x in enumerate(lists):
         out[i, : len(x)] = x
     return out
@@ -86,15 +87,23 @@ def _packed(dims: int, marks: np.ndarray | None):
 
 
 def _bounds(q: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest possible score of each (query, cell row); exact in doubles below 2**53."""
+    """Least and greatest possible score of each (query, cell row); exact in doubles below 2**53, rounded outwards beyond."""
     dims = np.arange(q.shape[1])
     lo = np.zeros((len(q), len(cells)))
     hi = np.zeros((len(q), len(cells)))
+    size = np.zeros(len(q))
     for d in dims:
         a, b = q[:, d, None].astype(float) * low[d], q[:, d, None].astype(float) * high[d]
         lo += np.minimum(a, b)[:, cells[:, d]]
         hi += np.maximum(a, b)[:, cells[:, d]]
-    return lo, hi
+        size += np.maximum(np.abs(a), np.abs(b)).max(1)
+    slack = np.where(size < 2.0**52, 0.0, size * (len(dims) + 8) * 2.0**-52)[:, None]
+    return lo - slack, hi + slack
+
+
+def _scores(q: np.ndarray, v: np.ndarray, large: bool) -> np.ndarray:
+    """Exact scores of one query; by numbers of any length where 64 bits may not do."""
+    return v.astype(object) @ q.astype(object) if large else v @ q
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, bits: int = BITS) -> DataFrame:
@@ -109,7 +118,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     # marks from a bounded sample: they steer how tight the bounds are, not what is found
     sample = [r["v"] for r in base.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * min(1, 4000 / n)) + 1).limit(MARK_ROWS).collect()] or [[0] * dims]
     at = np.quantile(_matrix(sample, dims), np.arange(1, 1 << bits) / (1 << bits), axis=0).T if dims else np.zeros((0, (1 << bits) - 1))
-    marks = np.ceil(at).astype(np.int64)
+    marks = np.clip(np.ceil(at), -(2.0**62), 2.0**62).astype(np.int64)
     # exact edges of every cell, over all vectors
     edges = base.agg(*[f(F.coalesce(F.get("v", F.lit(d)), F.lit(0))).alias(f"{name}{d}") for d in range(dims) for name, f in (("lo", F.min), ("hi", F.max))]).first() if dims else {}
     low = np.stack([np.concatenate([[edges[f"lo{d}"]], marks[d]]) for d in range(dims)]) if dims else np.zeros((0, 1 << bits))
@@ -139,11 +148,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
             for ids, cells, q_ids, q_exact in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
                 cells = np.frombuffer(cells, np.uint8).reshape(len(ids), dims)
-                lo, _ = _bounds(np.frombuffer(q_exact, np.int32).reshape(len(q_ids), dims), cells, low, high)
+                lo, _ = _bounds(np.frombuffer(q_exact, np.int64).reshape(len(q_ids), dims), cells, low, high)
                 lo[q_ids[:, None] == ids[None]] = -np.inf
                 m = min(k, len(ids))
                 best = np.sort(np.partition(lo, len(ids) - m, axis=1)[:, len(ids) - m :], axis=1)
-                keep = np.isfinite(best)
+                keep = best > -LIMIT
+                best = np.floor(np.minimum(best, 2.0**62))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, m)[keep.ravel()]), pa.array(best.ravel()[keep.ravel()].astype(np.int64))], ["query_id", "bound"])
 
     bounds = met(asked).select("ids", "cells", "q_ids", "q_exact").mapInArrow(scan, "query_id long, bound long")
@@ -154,13 +164,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
         for batch in batches:
             for ids, exact, cells, q_ids, q_exact, b_ids, b_values in zip(*(batch.column(c).to_pylist() for c in range(7))):
                 ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                v = np.frombuffer(exact, np.int32).reshape(len(ids), dims)
-                qs = np.frombuffer(q_exact, np.int32).reshape(len(q_ids), dims)
+                v = np.frombuffer(exact, np.int64).reshape(len(ids), dims)
+                qs = np.frombuffer(q_exact, np.int64).reshape(len(q_ids), dims)
                 _, hi = _bounds(qs, np.frombuffer(cells, np.uint8).reshape(len(ids), dims), low, high)
+                large = np.abs(qs.astype(float)) @ np.abs(v.astype(float)).max(0) >= 2.0**62
                 floor = dict(zip(b_ids or [], b_values or []))
                 rows: list[tuple[np.ndarray, ...]] = []
                 for i, qid in enumerate(q_ids.tolist()):
-                    least = floor.get(qid, -(1 << 62))
+                    least = floor.get(qid, -np.inf)
                     can = np.flatnonzero((hi[i] >= least) & (ids != qid))
                     can = can[np.argsort(-hi[i][can], kind="stable")]
                     got, scores, at, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 4 * k
@@ -169,13 +180,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
                             break
                         some = can[at : at + step]
                         got = np.concatenate([got, ids[some]])
-                        scores = np.concatenate([scores, v[some].astype(np.int64) @ qs[i].astype(np.int64)])
-                        best = np.lexsort((got, -scores))[:k]
+                        scores = np.concatenate([scores, _scores(qs[i], v[some], large[i])])
+                        best = np.array(sorted(range(len(got)), key=lambda j: (-scores[j], got[j])))[:k] if large[i] else np.lexsort((got, -scores))[:k]
                         got, scores = got[best], scores[best]
                         at, step = at + step, 2 * step
                     rows.append((np.full(len(got), qid), got, scores))
                 cols = [np.concatenate(c) for c in zip(*rows)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
     ids_of = asked.select("qb", "q_ids", "q_exact")
     pairs = ids_of.mapInArrow(_query_ids, "qb long, query_id long").join(kth, "query_id").groupBy("qb").agg(F.collect_list("query_id").alias("b_ids"), F.collect_list("bound").alias("b_values"))

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names, for every operator and stage."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +116,21 @@ def test_top_k_cases(spark):
     assert va_topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).collect() == []
 
 
+def test_topk_of_large_components(spark):
+    big = [3e5, 1e6, -2e7, 123456.789]
+    vectors = {0: [big[0], 1.0, -1.0], 1: [2e5, 1.0, 0.0], 2: [1e5, 0.0, 0.0], 3: [big[1], big[2], 0.5], 4: [-big[3], 2.0, 1.0], 5: [-9e12, 0.0, 0.0], 100: [1e6, 3.0, 0.25], 200: [0.0, 0.0, 1.0]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in va_topk.top_k(df, F.col("vec_id") % 100 == 0, k=3).collect()]
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in vectors.items()}
+    want = []
+    for q in (0, 100, 200):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(scores[:3], 1)]
+    assert sorted(got) == want and max(abs(w[3]) for w in want) > 2**53
+    with pytest.raises(Exception, match="too large"):
+        va_topk.top_k(df.unionAll(spark.createDataFrame([(7, [1e300, 0.0, 0.0])], df.schema)), F.col("vec_id") % 100 == 0, k=3).collect()
+
+
 def test_urls(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "no scheme"), (4, "HTTP://A.ORG"), (5, "x://example.org/es/1?u=://b"), (None, "x://w.com/de/#a"), (6, "x://com/fr/?x"), (6, "x://com/fr/?x"), (7, "x://h?y://z/")], "page_id long, url string")
     for pages in (df, df.limit(0)):
