@@ -245,7 +245,7 @@ def deletion_workload(spark, sf_dir):
 @query(f"WITH {o.G} SELECT src, tgt FROM g WHERE src % 7 = 0")
 def edge_exists(spark, sf_dir):
     e = g(spark, sf_dir)
-    asked = e.where("src % 7 = 0").select("src", "tgt").unionAll(e.where("src % 7 = 0").select("src", (-F.col("tgt")).alias("tgt")))
+    asked = e.where("src % 7 = 0").select("src", "tgt").unionAll(e.where("src % 7 = 0").select("src", (-F.col("tgt") - 1).alias("tgt")))
     return mutate.exists(asked, e)
 
 
