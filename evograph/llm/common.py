@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: White space of the word contract: U+0020 and U+0009 to U+000D.
 SPACE = "[\\x20\\x09-\\x0D]"
 
-#: Rows up to which a keyed side table is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes up to which a keyed side table is broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,16 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one where none is set (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or one set on the context.
+
+    Where neither is set, a temporary folder serves a local session; a cluster's executors
+    would not see it, so there it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        path = tempfile.mkdtemp(prefix="evograph-")
-        spark.sparkContext.setCheckpointDir(path)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return path
+    if path:
+        return path
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="evograph-"))
+        held = context._jsc.sc().getCheckpointDir()
+    return held.get()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +43,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Removes what ``stored`` wrote for tables that nothing reads any more."""
+    for df in tables:
+        if df is not None and (path := getattr(df, "_stored_at", None)):
+            jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
 
 
 def let(value: Column, body) -> Column:
@@ -45,6 +62,17 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(values: Column, fold) -> Column:
+    """Array of ``fold`` over each prefix of an array (fold must be associative), in log2(size) passes of whole-array steps."""
+    passes = F.sequence(F.lit(0), F.length(F.bin(F.size(values).cast("long"))))
+
+    def one(acc: Column, k: Column) -> Column:
+        by = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda x, i: F.when(i >= by, fold(F.get(acc, i - by), x)).otherwise(x))
+
+    return F.when(F.size(values) < 2, values).otherwise(F.aggregate(passes, values, one))
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")
@@ -60,10 +88,21 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def small_enough(df: DataFrame) -> bool:
+    """Whether ``df`` may be broadcast: few rows, and few bytes by the sizes of its own columns."""
+    head = df.limit(BROADCAST_ROWS + 1)
+    wide = [c for c, t in df.dtypes if not t.split("(")[0] in _PLAIN]
+    size = F.sum(sum((F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{c}`")))), F.lit(0)) for c in wide), F.lit(8 * len(df.columns)))) if wide else F.count("*") * 8 * len(df.columns)
+    got = head.agg(F.count("*").alias("n"), F.coalesce(size, F.lit(0)).alias("bytes")).first()
+    return got["n"] <= BROADCAST_ROWS and got["bytes"] <= BROADCAST_BYTES
+
+
+_PLAIN = {"bigint", "int", "smallint", "tinyint", "double", "float", "boolean", "date", "timestamp", "decimal"}
+
+
 def sized_join(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
-    """Join that broadcasts ``small`` only when its counted rows are few."""
-    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return big.join(F.broadcast(small) if few else small, on, how)
+    """Join that broadcasts ``small`` only when its counted rows and bytes are few."""
+    return big.join(F.broadcast(small) if small_enough(small) else small, on, how)
 
 
 def held_out(doc_id: Column) -> Column:

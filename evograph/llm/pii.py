@@ -16,7 +16,7 @@ is fixed.
 Defined cases: null texts are empty and have no spans; rows that repeat an id are judged
 each; kinds may overlap each other, spans of one kind do not; ties in start go in the
 order of KINDS; empty tables give no rows and a classifier that adds nothing; texts of
-any length are searched whole; extra columns are kept by ``redact`` and never clash.
+any length and number of matches are searched whole; extra columns are kept by ``redact`` and never clash.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, let
+from .common import free_name, let, running
 
 KINDS = ("email", "ip", "card", "phone", "other")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -52,18 +52,24 @@ SURE = 0.9
 
 
 def raw_spans(text: Column, pattern: str) -> Column:
-    """Array of (start, end, match, before) of the matches, in code points; ``before``: up to 24 characters."""
+    """Array of (start, end, match, before) of the matches, in code points; ``before``: up to 24 characters.
+
+    Positions are running sums of the lengths of gaps and matches, so that the work grows
+    with the number of matches n as n log n.
+    """
     empty = F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")
 
     def place(gaps: Column, found: Column) -> Column:
-        def step(acc: Column, z: Column) -> Column:
-            start = acc["at"] + F.char_length(z["gap"])
-            end = start + F.char_length(z["match"])
-            one = F.struct(start.alias("start"), end.alias("end"), z["match"].alias("match"), F.right(z["gap"], F.lit(24)).alias("before"))
-            return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
+        steps = F.transform(found, lambda m, i: F.char_length(F.get(gaps, i)) + F.char_length(m))
+
+        def spans(ends: Column) -> Column:
+            def one(m: Column, i: Column) -> Column:
+                end = F.get(ends, i)
+                return F.struct((end - F.char_length(m)).alias("start"), end.alias("end"), m.alias("match"), F.right(F.get(gaps, i), F.lit(24)).alias("before"))
 
-        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda a: a["spans"])
+            return F.transform(found, one)
+
+        return let(steps, lambda n: let(running(n, lambda a, b: a + b), spans))
 
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return let(matches, lambda m: F.when(F.size(m) == 0, empty).otherwise(let(F.split(text, pattern, -1), lambda g: place(g, m))))
@@ -224,32 +230,70 @@ def with_spans(docs: DataFrame, model: Model, name: str, sure: float = SURE) ->
         more = F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
     def both(b: Column) -> Column:
-        free = F.filter(more, lambda s: ~F.exists(b, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))
-        return F.struct(b.alias("base"), F.sort_array(F.concat(b, free)).alias("spans"))
+        return F.struct(b.alias("base"), let(more, lambda c: F.when(F.size(c) == 0, b).otherwise(F.sort_array(F.concat(b, untouched(b, c))))).alias("spans"))
 
     return docs.withColumn(name, let(base, both))
 
 
+def untouched(base: Column, more: Column) -> Column:
+    """The spans of ``more`` that overlap none of ``base``: a sweep over the starts of ``base`` and the ends of ``more``.
+
+    A span of ``more`` is free when no base span that starts before its end ends behind
+    its start: the running maximum of base ends, read where the span's end sorts, tells.
+    """
+    opens = F.transform(base, lambda t: F.struct(t["start"].alias("at"), F.lit(1).alias("side"), t["end"].alias("reach"), t.alias("span")))
+    asks = F.transform(more, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("side"), F.lit(-1).alias("reach"), s.alias("span")))
+
+    def swept(events: Column) -> Column:
+        def free(reach: Column) -> Column:
+            kept = F.filter(events, lambda e, i: (e["side"] == 0) & (F.get(reach, i) <= e["span"]["start"]))
+            return F.transform(kept, lambda e: e["span"])
+
+        return let(running(F.transform(events, lambda e: e["reach"]), F.greatest), free)
+
+    return let(F.sort_array(F.concat(opens, asks)), swept)
+
+
 def written(spans: Column) -> Column:
     """kind:start:end, joined by commas."""
     kind = lambda s: F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Characters of the blocks that a text is read by when parts of it are cut out.
+CHUNK = 512
+
+
 def redact(docs: DataFrame, model: Model, sure: float = SURE) -> DataFrame:
-    """``docs`` with each span of the text replaced by its kind in brackets; n_chars, where there is one, follows."""
+    """``docs`` with each span of the text replaced by its kind in brackets; n_chars, where there is one, follows.
+
+    The text is split once into blocks of CHUNK characters, so that cutting out a part
+    costs its own length and a block, wherever it lies.
+    """
     s = free_name(docs, "spans")
     found = with_spans(docs, model, s, sure)
+    text, spans = F.col("text"), F.col(s)["spans"]
+    tag = lambda x: F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1)), F.lit("]"))
+
+    def part(blocks: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / CHUNK).cast("int")
+        some = F.slice(blocks, first + 1, F.greatest(F.floor((b - 1) / CHUNK).cast("int") - first + 1, F.lit(0)))
+        return F.when(a >= b, F.lit("")).otherwise(F.substring(F.array_join(some, ""), a - first * CHUNK + 1, b - a))
+
+    def replaced(blocks: Column) -> Column:
+        def pieces(reach: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                at = F.when(i > 0, F.get(reach, i - 1)).otherwise(0)
+                # a span that starts inside what is replaced already only widens it
+                return F.when(x["start"] < at, F.lit("")).otherwise(F.concat(part(blocks, at, x["start"]), tag(x)))
+
+            rest = part(blocks, F.element_at(reach, -1), F.char_length(text))
+            return F.concat(F.array_join(F.transform(spans, one), ""), rest)
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"])
-        tag = F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1)), F.lit("]"))
-        inside = x["start"] < acc["at"]  # overlaps what is replaced already
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(gap, tag))).alias("out"))
+        return let(running(F.transform(spans, lambda x: x["end"]), F.greatest), pieces)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.char_length("text")))
-    clean = F.when(F.size(F.col(s)["spans"]) == 0, F.col("text")).otherwise(F.aggregate(F.col(s)["spans"], start, step, rest))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    clean = F.when(F.size(spans) == 0, text).otherwise(let(blocks, replaced))
     out = found.withColumn("text", clean)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast("long"))
