@@ -330,3 +330,23 @@ def test_op7_text_of_very_many_matches(spark):
     row = pii.with_spans(df, model, "x").select(F.size(x["base"]).alias("n"), F.size(x["spans"]).alias("m"), F.element_at(x["base"], -1)["end"].alias("end")).first()
     assert (row["n"], row["m"], row["end"]) == (n, n, len(text) - 1)
     assert pii.redact(df, model).first()["text"] == "[EMAIL] " * n
+
+
+def test_hot_bucket_is_cut_by_other_bands(spark, monkeypatch):
+    """Unlike and like members of one bucket, with the sizes from which buckets are dealt and cut made small."""
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(near_dedup, "STREAM", 8)
+    monkeypatch.setattr(near_dedup, "STAR", 16)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    shared = " ".join(base[:70])
+    groups = {g: [f"g{g}x{i}" for i in range(60)] for g in range(40)}
+    texts = {}
+    for i in range(240):
+        own = list(groups[i % 40])
+        if rng.random() < 0.6:
+            own[rng.randrange(60)] = f"y{i}"
+        texts[i] = f"{shared} {' '.join(own)}"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.label(df, n=4).collect()}
+    assert got == exact_components(texts, 4) and len({c for _, c in got.values()}) == 40
