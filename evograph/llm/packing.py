@@ -1,23 +1,29 @@
 """Best-fit packing of token sequences, in bulk-synchronous supersteps.
 
 Documents are tokenised where they lie, cut into pieces of at most ``capacity``
-tokens and written once, each with its rank among the equal lengths of its task.
-Lengths are whole numbers up to the capacity, so the range-sorted lists of
-pieces and of gaps are run-length lists with at most ``capacity`` entries, however
-many documents there are: a superstep takes all pieces of one length (longest
-first), sweeps the sorted gaps for their successors, resolves conflicts by rank
-(the first ranks get the tightest run of gaps, the next ranks the next run),
-updates the gaps and repeats; what finds no gap opens sequences. The matching of
-ranks to runs is a distributed join on length; nothing is gathered by group.
+tokens and written once. Supersteps go through bands of lengths, the longest first:
+
+* range sort: the band's pieces and all gaps are range-partitioned and sorted by size;
+* deal: pieces and gaps go to shards by their rank, in turn, so that every shard has an
+  even sample of all sizes and no gap is offered in two shards;
+* successor sweep: each shard goes through its pieces, the longest first, and gives each
+  the smallest gap that holds it. Pieces that want the same gap are in one shard, where
+  the first in rank takes it and the next one goes on to the next successor;
+* update: what is left of a gap is a gap again, in the sweep and for the next band.
+  Pieces whose shard has no gap for them are dealt once more with all gaps that are
+  left, and only then open new sequences.
+
+With one shard this is best-fit decreasing, piece by piece. A shard holds about SHARD
+rows, so tasks stay small whatever the number of documents; the driver sees counts.
 
 Defined cases: a null or empty text is the end id alone; null ids are kept;
 repeated rows are packed each; an empty table gives no rows; a text of any length
-is cut whole; extra columns of the input are not looked at.
+is cut whole; pieces of equal length are ranked by where they lie; extra columns of
+the input are not looked at.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,16 +31,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 CAPACITY = 2048
 #: Words whose ids a worker keeps; beyond it the store starts anew.
 CACHE_WORDS = 600_000
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank_in_task long"
+#: Pieces and gaps of a shard.
+SHARD = 8192
+#: Each band of lengths reaches down to this part of its upper end.
+BAND = 4
+
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, place long"
+SWEPT = f"{PIECES}, sequence_id long, offset long, gap long"
 
 
 class WordCache:
@@ -115,77 +127,140 @@ def word_cache(path: str) -> WordCache:
 
 
 def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """Pieces of each (doc_id, text), with a rank among the pieces of its length that its task has made."""
+    """Pieces of each (doc_id, text); ``place``, which tells them apart, is the task and the number in it."""
     stop = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, task = word_cache(tokenizer_path), TaskContext.get().partitionId()
-        seen = [0] * (capacity + 1)
+        cache, place = word_cache(tokenizer_path), TaskContext.get().partitionId() << 33
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = cache.ids([text or ""])[0] + stop
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
-                    n = len(part) // 4
-                    rows.append((doc_id, piece, at // 4, n, zlib.crc32(part), task, seen[n]))
-                    seen[n] += 1
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            names = [f.split()[0] for f in PIECES.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names)
+                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), place))
+                    place += 1
+            yield _columns(rows, PIECES)
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
-def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Runs (length, first rank, ranks, first sequence, pieces in each sequence, offset of the first piece).
+_ARROW = {"long": pa.int64(), "int": pa.int32()}
 
-    Ranks r of a run go to sequence ``first + (r - first rank) // each`` at
-    ``offset + length * ((r - first rank) % each)``. There are at most a few
-    thousand runs: a superstep uses up either its length or a run of gaps, and
-    leaves at most two new runs of gaps.
-    """
-    out, made = [], 0
-    gaps: list[tuple[int, int, int]] = []  # gap, first sequence, sequences; sorted
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            k = bisect.bisect_left(gaps, (length,))
-            if k < len(gaps):
-                gap, first, n = gaps.pop(k)
-            else:
-                gap, first, n = capacity, made, -(-left // (capacity // length))
-                made += n
-            each = gap // length
-            whole = min(n, left // each)
-            for use, fill in ((whole, each), (1, left - whole * each) if whole < n and left > whole * each else (0, 0)):
-                if use:
-                    out.append((length, rank, use * fill, first, fill, capacity - gap))
-                    rank, left = rank + use * fill, left - use * fill
-                    if gap > fill * length:
-                        bisect.insort(gaps, (gap - fill * length, first, use))
-                    first, n = first + use, n - use
-            if n:
-                bisect.insort(gaps, (gap, first, n))
-    return out
+
+def _columns(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(f.split() for f in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[k]) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], list(names))
+
+
+class Shard:
+    """Gaps by size, and the sweep of pieces over them."""
+
+    def __init__(self, capacity: int, first_id: int | None):
+        self.capacity, self.next_id = capacity, first_id
+        self.gaps: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.sizes = 0  # bit g: there is a gap of size g
+
+    def add(self, gap: int, sequence: int) -> None:
+        self.gaps[gap].append(sequence)
+        self.sizes |= 1 << gap
+
+    def place(self, length: int) -> tuple[int | None, int | None]:
+        """Sequence and offset in the smallest gap that holds ``length``; a new sequence's where there is none, if the shard may open one."""
+        if fit := self.sizes >> length:
+            gap = length + (fit & -fit).bit_length() - 1
+            sequence = self.gaps[gap].pop()
+            if not self.gaps[gap]:
+                self.sizes ^= 1 << gap
+        elif self.next_id is None:
+            return None, None
+        else:
+            gap, sequence = self.capacity, self.next_id
+            self.next_id += 1
+        if gap > length:
+            self.add(gap - length, sequence)
+        return sequence, self.capacity - gap
+
+    def left(self) -> list[tuple]:
+        """Rows of SWEPT for the gaps that are left."""
+        return [(None,) * 6 + (s, None, g) for g, some in enumerate(self.gaps) for s in some]
+
+
+def _sweep(capacity: int, step: int, opens: bool):
+    """Rows of SWEPT from rows (shard, size, PIECES, sequence_id), sorted by shard, gaps before pieces, the longest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, shard = None, None
+        for batch in batches:
+            number, size, sequence = (batch.column(c).to_pylist() for c in (0, 1, 8))
+            found, rows = [], []
+            for k, n, gap_of in zip(number, size, sequence):
+                if k != now:
+                    rows += shard.left() if shard else []
+                    # numbers of new sequences: superstep, shard, count
+                    now, shard = k, Shard(capacity, (step << 48) + (k << 24) if opens else None)
+                if gap_of is None:
+                    found.append(shard.place(n))
+                else:
+                    shard.add(n, gap_of)
+            pieces = batch.filter(pa.array([x is None for x in sequence], pa.bool_()))
+            at = [pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], []))]
+            yield pa.RecordBatch.from_arrays([*pieces.columns[2:8], *at, pa.nulls(len(found), pa.int64())], [f.split()[0] for f in SWEPT.split(", ")])
+            if rows:
+                yield _columns(rows, SWEPT)
+        if shard:
+            yield _columns(shard.left(), SWEPT)
+
+    return run
+
+
+def swept(pieces: DataFrame, gaps: DataFrame | None, shards: int, step: int, opens: bool, capacity: int) -> DataFrame:
+    """One superstep over ``pieces`` (PIECES) and ``gaps`` (sequence_id, gap): rows of SWEPT, placed pieces, pieces without a place and gaps."""
+    names = [f.split()[0] for f in PIECES.split(", ")]
+    rows = pieces.select(F.col("length").alias("size"), *names, F.lit(None).cast("long").alias("sequence_id"))
+    if gaps is not None:
+        none = [F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in PIECES.split(", ")]
+        rows = rows.unionByName(gaps.select(F.col("gap").alias("size"), *none, "sequence_id"))
+    order = [F.col("place").isNotNull(), F.col("size").desc(), F.col("place"), F.col("sequence_id")]
+    if shards > 1:
+        ranked = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        rank = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + F.spark_partition_id()
+        dealt = ranked.select((rank % shards).alias("shard"), "size", *names, "sequence_id").repartition(shards, "shard")
+    else:
+        dealt = rows.select(F.lit(0).cast("long").alias("shard"), "size", *names, "sequence_id").coalesce(1)
+    return dealt.sortWithinPartitions("shard", *order).mapInArrow(_sweep(capacity, step, opens), SWEPT)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of (doc_id, text)."""
-    spark = docs.sparkSession
     pieces = stored(cut(docs, tokenizer_path, capacity, end_id), "pieces")
-    by_task = stored(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "piece-counts")
-    # at most one row for each length up to the capacity
-    counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    runs = best_fit(counts, capacity)
-    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_task.select(F.col("length").alias("l"), F.col("task").alias("t"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    placed = spark.createDataFrame(runs, "run_length long, r0 long, ranks long, first long, each long, at long")
-    ranked = pieces.join(starts, (F.col("length") == F.col("l")) & (F.col("task") == F.col("t"))).withColumn("r", F.col("before") + F.col("rank_in_task"))
-    # the runs are bounded by the capacity (see best_fit), so they may be sent to every executor
-    hit = ranked.join(F.broadcast(placed), (F.col("length") == F.col("run_length")) & (F.col("r") >= F.col("r0")) & (F.col("r") < F.col("r0") + F.col("ranks")))
-    k = F.col("r") - F.col("r0")
-    return hit.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("first") + F.floor(k / F.col("each"))).cast("long").alias("sequence_id"), (F.col("at") + F.col("length") * (k % F.col("each"))).cast("long").alias("offset"),
-    )
+    return place(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def place(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+    """``pieces`` (PIECES), which are removed once read, with sequence_id and offset."""
+    ends = [capacity]
+    while ends[-1]:
+        ends.append(ends[-1] // BAND)
+    bands = list(zip(ends[1:], ends))
+    # a number for each band
+    sizes = pieces.agg(*[F.count(F.when((F.col("length") > low) & (F.col("length") <= high), 1)) for low, high in bands]).first()
+    parts, gaps, n_gaps, step = [pieces.limit(0).select("*", *[F.lit(None).cast("long").alias(c) for c in ("sequence_id", "offset", "gap")])], None, 0, 0
+    for (low, high), left in zip(bands, sizes):
+        todo, again = pieces.where((F.col("length") > low) & (F.col("length") <= high)), False
+        while left:
+            shards = -(-(left + n_gaps) // shard)
+            opens = again or shards == 1 or not n_gaps
+            step += 1
+            out = stored(swept(todo, gaps, shards, step, opens, capacity), "swept")
+            found, left, n_gaps = out.agg(F.count("offset"), F.count(F.when(F.col("place").isNotNull() & F.col("offset").isNull(), 1)), F.count("gap")).first()
+            if found:
+                parts.append(out.where("offset is not null"))
+            todo, again = out.where("place is not null and offset is null"), True
+            gaps = out.where("gap is not null").select("sequence_id", "gap") if n_gaps else None
+    out = parts[0] if len(parts) == 1 else parts[1]
+    for more in parts[2:]:
+        out = out.unionAll(more)
+    if len(parts) > 1:
+        forget(pieces)
+    return out

@@ -136,10 +136,9 @@ def test_op5_round_trip(spark, texts):
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
     rows = queries.op5_best_fit_packing(spark, SF).collect()
-    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    by_doc = defaultdict(list)
     for r in rows:
         by_doc[r["doc_id"]].append(r)
-        by_sequence[r["sequence_id"]].append(r)
     assert set(by_doc) == set(texts)
     for d, pieces in by_doc.items():
         ids = tokenizer.encode(texts[d] or "", add_special_tokens=False).ids + [0]
@@ -147,13 +146,7 @@ def test_op5_round_trip(spark, texts):
             part = ids[2048 * n : 2048 * (n + 1)]
             assert (r["piece"], r["start"], r["length"], r["ids_crc32"]) == (n, 2048 * n, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
         assert len(pieces) == math.ceil(len(ids) / 2048)
-    for held in by_sequence.values():
-        at = 0
-        for r in sorted(held, key=lambda r: r["offset"]):
-            assert r["offset"] == at
-            at += r["length"]
-        assert at <= 2048
-    assert len(by_sequence) <= 1.05 * sum(r["length"] for r in rows) / 2048 + 1
+    assert fills(rows, 2048) == one_by_one([r["length"] for r in rows], 2048)
 
 
 def test_word_cache_agrees_with_tokenizer():
@@ -164,22 +157,43 @@ def test_word_cache_agrees_with_tokenizer():
     assert cache.ids(hard) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in hard]
 
 
-def test_best_fit_equals_one_by_one():
+def one_by_one(lengths, cap):
+    """Fills of the sequences of best-fit decreasing, piece by piece."""
+    gaps, full = [], 0
+    for length in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(gaps, length)
+        gap = gaps.pop(k) if k < len(gaps) else cap
+        if gap > length:
+            bisect.insort(gaps, gap - length)
+        else:
+            full += 1
+    return sorted([cap - g for g in gaps] + [cap] * full)
+
+
+def fills(rows, cap):
+    """Fills of the sequences of placed rows, which must lie without gaps and overlaps."""
+    by = defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for held in by.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= cap
+    return sorted(sum(n for _, n in held) for held in by.values())
+
+
+def test_packing_equals_best_fit_one_by_one(spark):
     rng = random.Random(5)
-    for _ in range(60):
-        cap = rng.choice([10, 50, 2048])
-        counts = {rng.randint(1, cap): rng.randint(1, 30) for _ in range(rng.randint(1, 40))}
-        gaps, made = [], 0
-        for length in sorted(counts, reverse=True):
-            for _ in range(counts[length]):
-                k = bisect.bisect_left(gaps, length)
-                gap = gaps.pop(k) if k < len(gaps) else cap
-                made += k == len(gaps) and gap == cap
-                if gap > length:
-                    bisect.insort(gaps, gap - length)
-        runs = packing.best_fit(counts, cap)
-        used = {first + k // each for _, _, n, first, each, _ in runs for k in range(n)}
-        assert len(used) <= made + 1 and sum(n for _, _, n, *_ in runs) == sum(counts.values())
+    for cap in (10, 50, 2048):
+        lengths = [rng.choice((rng.randint(1, cap), rng.randint(1, max(1, cap // 9)))) for _ in range(3000)]
+        pieces = spark.createDataFrame([(i, 0, 0, n, 0, i) for i, n in enumerate(lengths)], packing.PIECES)
+        want = one_by_one(lengths, cap)
+        assert fills(packing.place(pieces, cap, shard=10_000).collect(), cap) == want
+        dealt = packing.place(pieces, cap, shard=300).collect()
+        assert sorted(r["place"] for r in dealt) == list(range(3000))
+        assert len(fills(dealt, cap)) <= len(want) + 2
 
 
 def exact_components(texts, n):
