@@ -1,24 +1,28 @@
 """Exact top-k inner products by vector-approximation files.
 
-Vectors become whole numbers floor(scale * x). The VA-file quantises each dimension
-into 2**bits cells between fixed quantile marks and keeps one cell number for each
-component, an eighth or less of the vector's size. Queries and data are packed into
-blocks; each pair of a query block and a data block is one task row:
-
-* scan: bounds of every score from the cells alone (per query, a table of the least
-  and greatest product in each cell of each dimension); the kth greatest lower bound
-  over all blocks is a bound that the final kth score cannot fall below;
-* refine: exact vectors are read in the order of their upper bounds until the next
-  bound lies below both that bound and the block's own kth exact score.
-
-What leaves a pair of blocks is at most k rows a query. Queries meet data in blocks
-only; no pair is ever a row.
+Vectors become whole numbers floor(scale * x) and are written once, each with a row
+number. The VA-file holds blocks of rows of like length where they lie: one byte for
+each component, the number of its cell between the least and greatest value that the
+component takes in the block.
+
+* scan: the cells alone give bounds of every score, as the product of the query with the
+  cells' centres, less and plus the query's reach over half a cell. A task streams its
+  blocks past the queries and keeps the rows whose upper bound is not below the kth
+  greatest lower bound so far; over all tasks, those at or above the kth greatest lower
+  bound are candidates.
+* refine: exact vectors are read by row number, the candidates of greatest upper bound
+  first, in steps that double, until no unread candidate's bound reaches the kth exact
+  score.
+
+Exact vectors move for candidates only. Queries go to the executors in chunks of bounded
+bytes; no pair of a query and a row is ever a row of a table unless it is a candidate.
 
 Defined cases: vectors that are null or hold null or non-finite components take no
 part, as do null ids; shorter vectors count as padded with zeros; a component of 2**63
-or more after scaling, or a score of the best k that no long holds, is an error;
-repeated ids count each, but a query never meets its own id; ties go to the smaller id; an empty table gives no rows; extra columns are not
-looked at.
+or more after scaling, or a candidate's score that no long holds, is an error;
+repeated ids count each, but a query never meets its own id; ties go to the smaller id;
+rows that repeat a query's id ask once, with the least of their vectors; an empty table
+gives no rows; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,16 +34,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, sized_join, stored
 
-BITS = 4
-DATA_BLOCK, QUERY_BLOCK = 1024, 512
-#: Query blocks up to which they are sent to every executor (64 blocks of 512 vectors of 64 numbers: 8 MB).
-SENT_BLOCKS = 64
-#: Rows from which the marks of the cells are taken; marks change speed, never results.
-MARK_ROWS = 20_000
+CELLS = 256
+#: Cells of a block, and bytes of the queries that are sent to the executors at once.
+BLOCK_BYTES, QUERY_BYTES = 1 << 19, 16 << 20
+#: Queries that meet a block together.
+TOGETHER = 256
 LIMIT = float(1 << 63)
 
+FOUND = "query_id long, row long, vec_id long, low double, high double"
+
 
 def whole(embedding: Column, scale: int) -> Column:
     far = F.raise_error(F.lit("a component is too large for 64 bits after scaling")).cast("long")
@@ -49,155 +54,190 @@ def whole(embedding: Column, scale: int) -> Column:
 
 
 def usable(df: DataFrame, scale: int) -> DataFrame:
-    """vec_id, v (whole numbers) of the vectors that take part."""
+    """row, vec_id, v (whole numbers) of the vectors that take part."""
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     real = df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(True)))
-    return real.select(F.col("vec_id").cast("long").alias("vec_id"), whole(F.col("embedding"), scale).alias("v"))
+    return real.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), whole(F.col("embedding"), scale).alias("v"))
 
 
-def _matrix(lists: list, dims: int) -> np.ndarray:
-    out = np.zeros((len(lists), dims), np.int64)
-    for i, x in enumerate(lists):
-        out[i, : len(x)] = x
+def _padded(lists: pa.ListArray, width: int | None = None) -> np.ndarray:
+    """Rows of a list column as a matrix, shorter ones padded with zeros."""
+    size = np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(lists), int(size.max(initial=0)) if width is None else width), np.int64)
+    out[np.arange(out.shape[1]) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
-def _packed(dims: int, marks: np.ndarray | None):
-    """Blocks (block, ids, exact, cells) of rows sorted by block."""
+def quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least value and cell width of each component, and the cells. Differences are taken without sign: they fit 64 bits whatever the values."""
+    low = v.min(axis=0)
+    above = v.view(np.uint64) - low.view(np.uint64)
+    step = above.max(axis=0) // np.uint64(CELLS) + np.uint64(1)
+    return low, step, (above // step).astype(np.uint8)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, list]] = []
 
-        def flush() -> pa.RecordBatch:
-            ids = np.array([r[1] for r in held], np.int64)
-            v = _matrix([r[2] for r in held], dims)
-            cells = b"" if marks is None else np.stack([np.searchsorted(marks[d], v[:, d], "right") for d in range(dims)], 1).astype(np.uint8).tobytes() if dims else b""
-            return pa.RecordBatch.from_arrays([pa.array([held[0][0]], pa.int64()), pa.array([ids.tobytes()]), pa.array([v.tobytes()]), pa.array([cells])], ["block", "ids", "exact", "cells"])
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (row_numbers, ids, low, step, cells) of rows (row, vec_id, v), by powers of two of their length."""
+    names = ["row_numbers", "ids", "low", "step", "cells"]
 
+    def block(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        width = max(p[2].shape[1] for p in parts)
+        v = np.concatenate([np.pad(p[2], ((0, 0), (0, width - p[2].shape[1]))) for p in parts])
+        data = [np.concatenate([p[c] for p in parts]) for c in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (*data, *quantised(v))], names)
+
+    held: dict[int, list] = {}
+    for batch in batches:
+        rows, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        size = np.diff(batch.column(2).offsets.to_numpy())
+        kind = np.ceil(np.log2(np.maximum(size, 16))).astype(int)
+        for k in np.unique(kind).tolist():
+            most = max(1, BLOCK_BYTES >> k)
+            at = np.flatnonzero(kind == k)
+            for i in range(0, len(at), most):
+                some = at[i : i + most]
+                held.setdefault(k, []).append((rows[some], ids[some], _padded(batch.column(2).take(pa.array(some)))))
+                if sum(len(p[0]) for p in held[k]) >= most:
+                    yield block(held.pop(k))
+    for parts in held.values():
+        yield block(parts)
+
+
+def bounds(q: np.ndarray, low: np.ndarray, step: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of the possible scores of each (query, row) and the reach of each query around them, rounding errors included."""
+    d = min(q.shape[1], len(low))
+    q, start, width = q[:, :d].astype(float), low[:d].astype(float), step[:d].astype(float)
+    half = (width - 1) / 2
+    centres = q @ (start + half + cells[:, :d] * width).T
+    size = np.abs(q) @ (np.abs(start) + CELLS * width)
+    return centres, np.abs(q) @ half + size * (d + 8) * 2.0**-50
+
+
+class Candidates:
+    """Rows that may be among the k best of the queries, by place of the query."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.floor = k, np.full(queries, -np.inf)
+        self.rows: list[tuple[np.ndarray, ...]] = []  # query, row, vec_id, low, high
+        self.kept = self.fresh = 0
+
+    def add(self, *rows: np.ndarray) -> None:
+        self.rows.append(rows)
+        self.fresh += len(rows[0])
+        if self.fresh > 4 * self.kept + 100_000:
+            self.prune()
+
+    def prune(self) -> tuple[np.ndarray, ...]:
+        """Raises the kth lower bounds and drops what lies below them."""
+        if not self.rows:
+            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, float, float))
+        q, row, ids, low, high = (np.concatenate(c) for c in zip(*self.rows))
+        order = np.lexsort((-low, q))
+        nth = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+        kth = order[nth == self.k - 1]
+        self.floor[q[kth]] = np.maximum(self.floor[q[kth]], low[kth])
+        keep = high >= self.floor[q]
+        out = tuple(c[keep] for c in (q, row, ids, low, high))
+        self.rows, self.kept, self.fresh = [out], int(keep.sum()), 0
+        return out
+
+
+def _scan(sent, k: int):
+    """Candidates of the sent queries among the blocks of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, q = sent.value
+        found = Candidates(len(q_ids), k)
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (row[0] != held[0][0] or len(held) >= DATA_BLOCK):
-                    yield flush()
-                    held = []
-                held.append(row)
-        if held:
-            yield flush()
+            for rows, ids, low, step, cells in zip(*(c.to_pylist() for c in batch.columns)):
+                rows, ids, low, step = (np.frombuffer(x, t) for x, t in ((rows, np.int64), (ids, np.int64), (low, np.int64), (step, np.uint64)))
+                cells = np.frombuffer(cells, np.uint8).reshape(len(rows), len(low))
+                at = np.minimum(np.searchsorted(q_ids, ids), len(q_ids) - 1)
+                own = np.flatnonzero(q_ids[at] == ids)
+                for a in range(0, len(q_ids), TOGETHER):
+                    b = min(a + TOGETHER, len(q_ids))
+                    centres, reach = bounds(q[a:b], low, step, cells)
+                    mine = own[(at[own] >= a) & (at[own] < b)]
+                    centres[at[mine] - a, mine] = -np.inf  # a query does not meet its own id
+                    floor = found.floor[a:b]
+                    if len(rows) > k and np.isneginf(floor).any():
+                        floor = np.maximum(floor, np.partition(centres, len(rows) - k, axis=1)[:, len(rows) - k] - reach)
+                    i, j = np.nonzero((centres + reach[:, None] >= floor[:, None]) & (centres > -np.inf))
+                    found.add(i + a, rows[j], ids[j], centres[i, j] - reach[i], centres[i, j] + reach[i])
+        at, *rest = found.prune()
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in (q_ids[at], *rest)], [f.split()[0] for f in FOUND.split(", ")])
 
     return run
 
 
-def _bounds(q: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest possible score of each (query, cell row); exact in doubles below 2**53, rounded outwards beyond."""
-    dims = np.arange(q.shape[1])
-    lo = np.zeros((len(q), len(cells)))
-    hi = np.zeros((len(q), len(cells)))
-    size = np.zeros(len(q))
-    for d in dims:
-        a, b = q[:, d, None].astype(float) * low[d], q[:, d, None].astype(float) * high[d]
-        lo += np.minimum(a, b)[:, cells[:, d]]
-        hi += np.maximum(a, b)[:, cells[:, d]]
-        size += np.maximum(np.abs(a), np.abs(b)).max(1)
-    slack = np.where(size < 2.0**52, 0.0, size * (len(dims) + 8) * 2.0**-52)[:, None]
-    return lo - slack, hi + slack
+def _score(sent):
+    """query_id, vec_id, score of rows (query_id, vec_id, v)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, q = sent.value
+        for batch in batches:
+            v = _padded(batch.column(2))
+            d = min(v.shape[1], q.shape[1])
+            mine = q[np.searchsorted(q_ids, batch.column(0).to_numpy(zero_copy_only=False))][:, :d]
+            v = v[:, :d]
+            large = (np.abs(mine.astype(float)) * np.abs(v.astype(float))).sum(axis=1) >= 2.0**62
+            scores = np.where(large[:, None], 0, mine * np.where(large[:, None], 0, v)).sum(axis=1).tolist()
+            for i in np.flatnonzero(large).tolist():
+                scores[i] = sum(x * y for x, y in zip(mine[i].tolist(), v[i].tolist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
 
-def _scores(q: np.ndarray, v: np.ndarray, large: bool) -> np.ndarray:
-    """Exact scores of one query; by numbers of any length where 64 bits may not do."""
-    return v.astype(object) @ q.astype(object) if large else v @ q
+    return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, bits: int = BITS) -> DataFrame:
+def _best(scores: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _refined(base: DataFrame, candidates: DataFrame, sent, k: int) -> DataFrame:
+    """The k best (query_id, vec_id, score, rank) of ``candidates`` (query_id, row, high), read in the order of their bounds."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("high"), "row")
+    ranked = stored(candidates.select("query_id", "row", "high", F.row_number().over(order).alias("nth")), "candidates")
+    best, done, step = None, 0, 4 * k
+    unread = ranked
+    while True:
+        some = stored(unread.where((F.col("nth") > done) & (F.col("nth") <= done + step)).select("query_id", "row"), "asked-rows")
+        exact = sized_join(base, some, "row", "inner").select("query_id", "vec_id", "v").mapInArrow(_score(sent), "query_id long, vec_id long, score long")
+        before, best = best, stored(_best(exact if best is None else best.drop("rank").unionByName(exact), k), "best")
+        forget(some, before)
+        done, step = done + step, 2 * step
+        kth = best.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("kth"))
+        rest = ranked.where(F.col("nth") > done).join(kth, "query_id", "left")
+        # doubles of long scores are rounded: unread bounds must lie below them by more than that
+        unread = rest.where(F.col("kth").isNull() | (F.col("high") >= F.col("kth") - F.abs("kth") * 2.0**-52)).select("query_id", "row", "high", "nth")
+        if unread.isEmpty():
+            forget(ranked)
+            return best
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the ``k`` best other vectors of each query."""
     spark = vectors.sparkSession
     base = stored(usable(vectors, scale), "vectors")
-    facts = base.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims"), F.count(F.when(is_query, 1)).alias("q")).first()
-    n, dims, q = facts["n"], facts["dims"] or 0, facts["q"]
-    out = "query_id long, rank int, vec_id long, score long"
-    if not n or not q:
-        return spark.createDataFrame([], out)
-    # marks from a bounded sample: they steer how tight the bounds are, not what is found
-    sample = [r["v"] for r in base.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * min(1, 4000 / n)) + 1).limit(MARK_ROWS).collect()] or [[0] * dims]
-    at = np.quantile(_matrix(sample, dims), np.arange(1, 1 << bits) / (1 << bits), axis=0).T if dims else np.zeros((0, (1 << bits) - 1))
-    marks = np.clip(np.ceil(at), -(2.0**62), 2.0**62).astype(np.int64)
-    # exact edges of every cell, over all vectors
-    edges = base.agg(*[f(F.coalesce(F.get("v", F.lit(d)), F.lit(0))).alias(f"{name}{d}") for d in range(dims) for name, f in (("lo", F.min), ("hi", F.max))]).first() if dims else {}
-    low = np.stack([np.concatenate([[edges[f"lo{d}"]], marks[d]]) for d in range(dims)]) if dims else np.zeros((0, 1 << bits))
-    high = np.stack([np.concatenate([marks[d] - 1, [edges[f"hi{d}"]]]) for d in range(dims)]) if dims else np.zeros((0, 1 << bits))
-
-    def blocks(df: DataFrame, rows: int, size: int, cells: bool) -> DataFrame:
-        parts = max(1, -(-rows // size))
-        dealt = df.select(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(parts).cast("long")).alias("block"), "vec_id", "v")
-        dealt = dealt.repartition(max(1, min(parts, 20_000)), "block").sortWithinPartitions("block", "vec_id")
-        return dealt.mapInArrow(_packed(dims, marks if cells else None), "block long, ids binary, exact binary, cells binary")
-
-    data = stored(blocks(base, n, DATA_BLOCK, True), "va-file")
-    # rows that repeat a query's id ask once, with the least of their vectors
-    once = base.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    parts = max(1, -(-q // QUERY_BLOCK))
-    asked = stored(blocks(once, q, QUERY_BLOCK, False).select(F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact")), "queries")
-
-    def met(right: DataFrame) -> DataFrame:
-        """Each data block with each query block; the blocks are dealt evenly, and a few query blocks are sent to all."""
-        left = data.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("qb"))
-        if parts <= SENT_BLOCKS:
-            return left.repartition(max(1, min(20_000, -(-n // DATA_BLOCK))), "block", "qb").join(F.broadcast(right), "qb")
-        return left.join(right, "qb")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, cells, q_ids, q_exact in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                cells = np.frombuffer(cells, np.uint8).reshape(len(ids), dims)
-                lo, _ = _bounds(np.frombuffer(q_exact, np.int64).reshape(len(q_ids), dims), cells, low, high)
-                lo[q_ids[:, None] == ids[None]] = -np.inf
-                m = min(k, len(ids))
-                best = np.sort(np.partition(lo, len(ids) - m, axis=1)[:, len(ids) - m :], axis=1)
-                keep = best > -LIMIT
-                best = np.floor(np.minimum(best, 2.0**62))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, m)[keep.ravel()]), pa.array(best.ravel()[keep.ravel()].astype(np.int64))], ["query_id", "bound"])
-
-    bounds = met(asked).select("ids", "cells", "q_ids", "q_exact").mapInArrow(scan, "query_id long, bound long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("bound"))
-    kth = stored(bounds.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("query_id", "bound"), "kth-bounds")
-
-    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, exact, cells, q_ids, q_exact, b_ids, b_values in zip(*(batch.column(c).to_pylist() for c in range(7))):
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                v = np.frombuffer(exact, np.int64).reshape(len(ids), dims)
-                qs = np.frombuffer(q_exact, np.int64).reshape(len(q_ids), dims)
-                _, hi = _bounds(qs, np.frombuffer(cells, np.uint8).reshape(len(ids), dims), low, high)
-                large = np.abs(qs.astype(float)) @ np.abs(v.astype(float)).max(0) >= 2.0**62
-                floor = dict(zip(b_ids or [], b_values or []))
-                rows: list[tuple[np.ndarray, ...]] = []
-                for i, qid in enumerate(q_ids.tolist()):
-                    least = floor.get(qid, -np.inf)
-                    can = np.flatnonzero((hi[i] >= least) & (ids != qid))
-                    can = can[np.argsort(-hi[i][can], kind="stable")]
-                    got, scores, at, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 4 * k
-                    while at < len(can):
-                        if len(scores) >= k and hi[i][can[at]] < scores[k - 1]:
-                            break
-                        some = can[at : at + step]
-                        got = np.concatenate([got, ids[some]])
-                        scores = np.concatenate([scores, _scores(qs[i], v[some], large[i])])
-                        best = np.array(sorted(range(len(got)), key=lambda j: (-scores[j], got[j])))[:k] if large[i] else np.lexsort((got, -scores))[:k]
-                        got, scores = got[best], scores[best]
-                        at, step = at + step, 2 * step
-                    rows.append((np.full(len(got), qid), got, scores))
-                cols = [np.concatenate(c) for c in zip(*rows)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
-
-    ids_of = asked.select("qb", "q_ids", "q_exact")
-    pairs = ids_of.mapInArrow(_query_ids, "qb long, query_id long").join(kth, "query_id").groupBy("qb").agg(F.collect_list("query_id").alias("b_ids"), F.collect_list("bound").alias("b_values"))
-    found = met(stored(ids_of.join(pairs, "qb", "left"), "asked")).select("ids", "exact", "cells", "q_ids", "q_exact", "b_ids", "b_values", "qb")
-    best = found.mapInArrow(refine, "query_id long, vec_id long, score long")
-    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _query_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for qb, q_ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = np.frombuffer(q_ids, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), qb)), pa.array(ids)], ["qb", "query_id"])
+    asked = stored(base.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    facts = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dims")).first()
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if not facts["n"]:
+        return out
+    file = stored(base.mapInArrow(_blocks, "row_numbers binary, ids binary, low binary, step binary, cells binary"), "va-file")
+    chunks = -(-facts["n"] * max(facts["dims"], 1) * 8 // QUERY_BYTES)
+    for c in range(chunks):
+        mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).orderBy("vec_id").toArrow()  # about QUERY_BYTES
+        if not mine.num_rows:
+            continue
+        ids = mine.column(0).to_numpy()
+        sent = spark.sparkContext.broadcast((ids, _padded(mine.column(1).combine_chunks())))
+        found = stored(file.mapInArrow(_scan(sent, k), FOUND), "bounds")
+        low = Window.partitionBy("query_id").orderBy(F.desc("low"))
+        kth = found.withColumn("nth", F.row_number().over(low)).where(F.col("nth") == k).select("query_id", F.col("low").alias("floor"))
+        able = found.join(kth, "query_id", "left").where(F.col("floor").isNull() | (F.col("high") >= F.col("floor")))
+        out = out.unionByName(_refined(base, able, sent, k))
+        forget(found)
+    forget(asked, file, base)
+    return out
