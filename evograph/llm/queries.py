@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import string
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing, near_dedup, packing, pii, pu_quality, quality_rules, toxicity, url_lm, va_topk, warc_fixity
-from .common import held_out, table
+from .common import held_out, shared_dir, table
 
 
 def tokenizer_path() -> str:
@@ -66,9 +67,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a replica of all pages in which the first character of every 211th page's body is another."""
+    """Writes all pages as WARC files, the first character of every 211th page's body being another, and audits the files."""
     flipped = F.when(F.col("page_id") % 211 == 7, F.concat(F.lit("?"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html"))
-    return warc_fixity.audit_pages(table(spark, sf_dir, "pages"), flipped)
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    return warc_fixity.audit_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), flipped, path)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,14 +87,16 @@ def _nodes(below: str) -> str:
 
 
 def _warc_sql() -> str:
+    http = "'HTTP/1.1 200 OK' || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || strlen(coalesce({0}, '')) || nl || nl || coalesce({0}, '')"
     record = (
-        "'WARC/1.0' || nl || 'WARC-Type: response' || nl || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || nl || "
-        "'WARC-Target-URI: ' || coalesce(url, '') || nl || 'Content-Length: ' || strlen(coalesce({0}, '')) || nl || nl || coalesce({0}, '')"
+        "'WARC/1.0' || nl || 'WARC-Type: response' || nl || 'WARC-Record-ID: <' || name || '>' || nl || 'WARC-Date: 1970-01-01T00:00:00Z' || nl || "
+        "'WARC-Target-URI: ' || replace(replace(coalesce(nullif(url, ''), name), chr(13), '%0D'), chr(10), '%0A') || nl || "
+        f"'Content-Type: application/http; msgtype=response' || nl || 'Content-Length: ' || strlen({http}) || nl || nl || {http}"
     )
     tree = lambda k: f"list({{'s': o{k}, 'e': o{k} + n{k}, 'h': h{k}}} ORDER BY record_no)"
     offset = lambda k: f"CAST(coalesce(sum(n{k} + 4) OVER (PARTITION BY file_id ORDER BY record_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS o{k}"
     return f"""
-        WITH p AS (SELECT *, chr(13) || chr(10) AS nl, CASE WHEN page_id % 211 = 7 THEN '?' || substr(html, 2) ELSE html END AS other FROM pages),
+        WITH p AS (SELECT *, chr(13) || chr(10) AS nl, 'urn:page:' || coalesce(CAST(page_id AS VARCHAR), 'none') AS name, CASE WHEN page_id % 211 = 7 THEN '?' || substr(html, 2) ELSE html END AS other FROM pages),
         r AS (SELECT page_id, {record.format("html")} AS t1, {record.format("other")} AS t2 FROM p),
         h AS (SELECT page_id, sha256(t1) AS h1, strlen(t1) AS n1, sha256(t2) AS h2, strlen(t2) AS n2 FROM r),
         i AS (SELECT *, row_number() OVER (ORDER BY page_id NULLS LAST, h1) - 1 AS k FROM h),
@@ -102,7 +106,8 @@ def _warc_sql() -> str:
         a1 AS (SELECT file_id, {_nodes("x")} AS x, {_nodes("y")} AS y FROM a0),
         a2 AS (SELECT file_id, {_nodes("x")} AS x, {_nodes("y")} AS y FROM a1),
         a3 AS (SELECT file_id, {_nodes("x")} AS x, {_nodes("y")} AS y FROM a2)
-        SELECT page_id, o.file_id, record_no, o1 AS "offset", n1 AS length, h1 AS sha256, x[1].h AS root_sha256, y[1].h AS replica_root_sha256, h1 <> h2 AS corrupt
+        SELECT page_id, o.file_id, record_no, o1 AS "offset", n1 AS length, h1 AS sha256, sha256(x[1].h) AS root_sha256, sha256(y[1].h) AS replica_root_sha256,
+            CASE WHEN h1 = h2 THEN 'ok' ELSE 'corrupt' END AS status, h1 <> h2 AS corrupt
         FROM o JOIN a3 ON o.file_id = a3.file_id"""
 
 
