@@ -141,9 +141,11 @@ def test_urls(spark):
             assert got[None] == ("w.com", "/de/", "com/de/", "block") and got[6] == ("com", "/fr/", "com/fr/", "allow") and got[7][:2] == ("h", "")
 
 
-def test_fixity_cases(spark):
-    df = spark.createDataFrame([(1, "u", "a"), (1, "u", "a"), (None, None, None), (2, "u", ""), (3, None, "é" * 10_000)], "page_id long, url string, html string")
+def test_fixity_cases(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "a"), (1, "u", "a"), (None, None, None), (2, "u", ""), (3, "x\r\ny", "é" * 10_000)], "page_id long, url string, html string")
     other = F.when(F.col("page_id") == 2, "x").otherwise(F.col("html"))
-    rows = warc_fixity.audit_pages(df, other, records=2, fan=2).collect()
-    assert [(r["page_id"], r["corrupt"]) for r in sorted(rows, key=lambda r: (r["file_id"], r["record_no"]))] == [(1, False), (1, False), (2, True), (3, False), (None, False)]
-    assert warc_fixity.audit_pages(df.limit(0), other).collect() == []
+    rows = warc_fixity.audit_pages(df, other, str(tmp_path / "a"), records=2, fan=2).collect()
+    assert [(r["page_id"], r["status"]) for r in sorted(rows, key=lambda r: (r["file_id"], r["record_no"]))] == [(1, "ok"), (1, "ok"), (2, "corrupt"), (3, "ok"), (None, "ok")]
+    back = {r["page_id"]: (r["url"], r["body"]) for r in warc_fixity.read_warc(spark, str(tmp_path / "a")).collect()}
+    assert back == {"1": ("u", "a"), "2": ("u", "x"), "3": ("x%0D%0Ay", "é" * 10_000), None: (None, "")}
+    assert warc_fixity.audit_pages(df.limit(0), other, str(tmp_path / "b")).collect() == []
