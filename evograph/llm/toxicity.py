@@ -2,14 +2,14 @@
 
 Folding lower-cases, maps homoglyphs and digit or sign substitutions to plain letters,
 drops combining marks and turns everything else into single spaces. The lexicon holds
-words that are significantly more frequent in toxic training documents, weighted by
+all words that are significantly more frequent in toxic training documents, weighted by
 smoothed log odds; exception phrases are word pairs around a lexicon word that occur
 almost only in clean ones, and cancel the hits inside them. The score is a logistic
 function, fitted on the same sample, of the weights found, as they are and per word.
 
 Defined cases: null and empty texts have no hits and score as such; with no labels or
-one class the score is the share of toxic labels (0 without any); repeated labels
-count each; rows that repeat an id are scored each; empty tables give no rows; extra
+one class the score is the share of toxic labels (0 without any); labels that repeat and
+copies of a text count once; rows that repeat an id are scored each; empty tables give no rows; extra
 columns are not looked at.
 """
 
@@ -26,12 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, stored
+from .common import forget, held_out, stored
 
 #: Labelled rows that are learned from at most, by hash of the id.
 SAMPLE_ROWS = 20_000
-#: Entries of the lexicon and exception phrases at most: a model of bounded size.
-LEXICON, EXCEPTIONS = 5_000, 5_000
 #: Letters of a stem: the lexicon may hold stems, written with a star, which match any longer word.
 STEM = 5
 #: Letters that look like Latin ones, and digits and signs that stand for letters.
@@ -125,7 +123,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Model from the labels (doc_id, toxic) of rows that aren't held out."""
-    known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     total = sum(counts.values())
     if len(counts) < 2:
@@ -134,7 +132,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     if total > sample_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) < int((1 << 30) * sample_rows / total))
     # about sample_rows rows of an id and a flag: bounded, so it may be sent to every executor
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic").distinct()  # copies of a text count once
+    sample = stored(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic").distinct(), "toxicity-sample")
     n = dict.fromkeys((0, 1), 0)
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,8 +154,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n[0] + 1))
     mean = (F.col("toxic") + F.col("clean") + 1) / (n[0] + n[1])
     sure = (rate_t - rate_c) / F.sqrt(mean * (1 / n[0] + 1 / n[1]))
-    best = terms.where("term <> ''").select("term", odds.alias("odds"), sure.alias("sure")).where("odds >= 1.5 and sure >= 4").orderBy(F.desc("sure"), "term").limit(LEXICON)
-    lexicon = {r["term"]: r["odds"] for r in best.collect()}
+    best = terms.where("term <> ''").select("term", odds.alias("odds"), sure.alias("sure")).where("odds >= 1.5 and sure >= 4")
+    lexicon = {r["term"]: r["odds"] for r in best.collect()}  # terms of the sample that pass: bounded by it
     if not lexicon:
         return Model(weights=(float(np.log(n[1] / n[0])), 0.0, 0.0, 0.0))
 
@@ -171,8 +169,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         yield pd.DataFrame({"term": keys, "clean": [by[0][k] for k in keys], "toxic": [by[1][k] for k in keys]})
 
     around = sample.mapInPandas(pairs, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    around = around.where("clean >= 5 and clean >= 20 * toxic").orderBy(F.desc("clean"), "term").limit(EXCEPTIONS)
-    model = Model(lexicon, [r["term"] for r in around.collect()])
+    around = around.where("clean >= 5 and clean >= 20 * toxic")
+    model = Model(lexicon, sorted(r["term"] for r in around.collect()))
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = model.automaton()
@@ -180,7 +178,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             found = [(f.count(" ") - 1, *hits(f, automaton)) for f in map(fold, batch["text"])]
             yield pd.DataFrame({"n_words": [x[0] for x in found], "n": [x[1] for x in found], "total": [x[2] for x in found], "toxic": batch["toxic"].to_numpy()})
 
-    got = sample.mapInPandas(measured, "n_words long, n long, total double, toxic long").collect()  # bounded by the sample
+    got = sorted(sample.mapInPandas(measured, "n_words long, n long, total double, toxic long").collect())  # bounded by the sample
+    forget(sample, terms)
     x = np.array([[r["n_words"], r["n"], r["total"]] for r in got], float)
     w = _logistic(measures(x[:, 0], x[:, 1], x[:, 2]), np.array([r["toxic"] for r in got], float))
     return Model(lexicon, model.exceptions, tuple(float(v) for v in w))
