@@ -125,7 +125,8 @@ class DecisionList:
 def labelled_counts(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[dict[str, list[float]], np.ndarray, np.ndarray]:
     """Cuts by feature; the binned features, and by row: fold, label, count."""
     known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").alias("bad"))
-    known = known.select("doc_id", (1 - F.col("bad")).alias("bad"))
+    # a row for each id and label, however often it is given
+    known = known.groupBy("doc_id", (1 - F.col("bad")).alias("bad")).agg(F.count("*").alias("times"))
     total = known.count()
     if total > sample_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * sample_rows / total))
@@ -135,7 +136,7 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tup
     feats = features(F.col("s"))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(3)) == 0
 
-    sample = stored(of.select(fold.alias("fold"), "bad", base_failed(F.col("s")).alias("failed"), *[feats[f].alias(f) for f in FEATURES]), "rules-sample")
+    sample = stored(of.select(fold.alias("fold"), "bad", "times", base_failed(F.col("s")).alias("failed"), *[feats[f].alias(f) for f in FEATURES]), "rules-sample")
     sample = sample.where("not failed")  # the others are decided already
     points = [i / 40 for i in range(41)]
     by_class = sample.groupBy("bad").agg(*[F.percentile_approx(f, points, 10_000).alias(f) for f in FEATURES]).collect()
@@ -150,9 +151,9 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tup
         return F.size(F.filter(F.array(*map(F.lit, cuts[f])).cast("array<double>"), lambda c: c <= F.col(f))).alias(f)
 
     bins = [binned(f) for f in FEATURES]
-    counts = sample.select(F.col("fold").cast("int").alias("fold"), "bad", *bins).groupBy("fold", "bad", *FEATURES).count().collect()
+    counts = sample.select(F.col("fold").cast("int").alias("fold"), "bad", "times", *bins).groupBy("fold", "bad", *FEATURES).agg(F.sum("times").alias("n")).collect()
     x = np.array([[r[f] for f in FEATURES] for r in counts], int).reshape(-1, len(FEATURES))
-    y = np.array([[r["fold"], r["bad"], r["count"]] for r in counts], int).reshape(-1, 3)
+    y = np.array([[r["fold"], r["bad"], r["n"]] for r in counts], int).reshape(-1, 3)
     order = np.lexsort((*x.T, *y.T))
     return cuts, x[order], y[order]
 
