@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sequence import with_sequence
+
 #: Bytes of an edge in a tile's list, of a local id, of a (source, count) pair.
 LIST_EDGE, LOCAL_ID, PAIR = 4, 2, 6
 
@@ -71,12 +73,12 @@ def compactions(of: DataFrame, first: int) -> DataFrame:
 
 def listing(of: DataFrame) -> DataFrame:
     """Tiles by size, largest first, with rank; a row for each tile that is not empty."""
-    return of.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_edges"), "tile_x", "tile_y")))
+    ranked = with_sequence(of, F.desc("n_edges"), F.asc("tile_x"), F.asc("tile_y"), name="__seq")
+    return ranked.select(*of.columns, (F.col("__seq") + 1).cast("int").alias("rank"))
 
 
 def batches(of: DataFrame, edges: int, tiles: int) -> DataFrame:
     """Runs of tiles in order that hold about ``edges`` edges and ``tiles`` tiles at most, by running sums."""
-    order = Window.orderBy("tile_x", "tile_y")
-    before = F.coalesce(F.sum("n_edges").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    nth = F.row_number().over(order) - 1
-    return of.select("tile_x", "tile_y", "n_edges", F.floor(before / edges).cast("long").alias("by_edges"), F.floor(nth / tiles).cast("long").alias("by_tiles"))
+    nth = with_sequence(of, "tile_x", "tile_y", name="__seq", running="n_edges")
+    by = F.floor(F.col("before_n_edges") / edges).cast("long")
+    return nth.select("tile_x", "tile_y", "n_edges", by.alias("by_edges"), F.floor(F.col("__seq") / tiles).cast("long").alias("by_tiles"))

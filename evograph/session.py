@@ -11,14 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder where none is set, as in tests."""
+    """The session's spark.checkpoint.dir, or the folder set on its context.
+
+    Where neither is set, a temporary folder serves a local session, as in tests; the
+    executors of a cluster would not see it, so there it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
     if not held.isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evograph-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="evograph-"))
+        held = context._jsc.sc().getCheckpointDir()
     return held.get()
 
 
@@ -32,6 +39,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(*tables: DataFrame | None) -> None:
+    """Removes the files of tables that ``cut`` made and that nothing reads any more."""
+    for df in tables:
+        plan = None if df is None else df._jdf.queryExecution().analyzed()
+        if plan is not None and plan.getClass().getSimpleName() == "LogicalRDD" and (file := plan.rdd().getCheckpointFile()).isDefined():
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextmanager
 def static_plans(spark: SparkSession) -> Iterator[None]:
     """Inside, plans are not changed at run time: a superstep's partitioning carries over to the next."""

@@ -15,19 +15,16 @@ def collapse(edges: DataFrame) -> DataFrame:
     return edges.where("tgt is not null and src <> tgt").groupBy("src", "tgt").agg(F.min("weight").alias("weight"))
 
 
-def _parts_in_order(lines: DataFrame) -> DataFrame:
+def multigraph(lines: DataFrame) -> DataFrame:
+    """Each part of ``lines`` to the next part of the same order, parallel edges as they come, no loops."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return collapse(lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("tgt"), F.col("l_quantity").alias("weight")))
+    pairs = lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("tgt"), F.col("l_quantity").alias("weight"))
+    return pairs.where("tgt is not null and src <> tgt")
 
 
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each part to the next part of the same order."""
-    return _parts_in_order(table(spark, sf_dir, "lineitem"))
-
-
-def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same on every 20th order: long paths, several components, sinks."""
-    return _parts_in_order(table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0"))
+    """Each part to the next part of the same order, of all orders."""
+    return collapse(multigraph(table(spark, sf_dir, "lineitem")))
 
 
 def bipartite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,9 +42,8 @@ def vertices(edges: DataFrame) -> DataFrame:
 
 def dense_domain(edges: DataFrame) -> DataFrame:
     """All ids of the least power-of-two range that holds every endpoint."""
-    top = edges.agg(F.max(F.greatest("src", "tgt")).alias("top"))
-    size = F.call_function("shiftleft", F.lit(1).cast("long"), F.when(F.col("top") > 0, F.length(F.bin("top"))).otherwise(0))
-    return top.where("top is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), size - 1)).alias("id"))
+    top = edges.agg(F.max(F.greatest("src", "tgt"))).first()[0]
+    return edges.sparkSession.range(0 if top is None else 1 << max(int(top), 0).bit_length())
 
 
 def start_vertex(edges: DataFrame) -> DataFrame:

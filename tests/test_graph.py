@@ -107,15 +107,49 @@ def test_components_under_deletions(spark):
 
 
 def test_long_paths_are_followed_to_their_end(spark):
-    n = 103
-    long = edges(spark, [(i, i + 1) for i in range(n)])
+    n = 300
+    path = edges(spark, [(i, i + 1, 1 + i % 3) for i in range(n)])
+    assert values(alg.bfs(path, start(spark), hops=4)) == {i: i for i in range(n + 1)}
+    n = 110
+    path = edges(spark, [(i, i + 1, 1 + i % 3) for i in range(n)])
+    assert values(alg.components(path, hops=4)) == {i: 0 for i in range(n + 1)}
+    assert values(alg.sssp(path, start(spark), hops=4))[n] == sum(1 + i % 3 for i in range(n))
     begin = start(spark).select("id", F.lit(0).alias("value"))
-    assert values(alg.bfs(long, start(spark))) == {i: i for i in range(n + 1)}
     with pytest.raises(RuntimeError):
         engine.run(engine.prepared(edges(spark, PATH)), engine.seeded(begin), engine.BFS, max_rounds=3)
     assert engine.run(engine.prepared(edges(spark, PATH)), engine.seeded(begin), engine.BFS, max_rounds=5).count() == 5
 
 
+def test_long_evolving_path(spark):
+    n = 104
+    rows = [(i, i + 1, 5.0) for i in range(n)]
+    whole, none = edges(spark, rows), edges(spark, [])
+    begin = start(spark).select("id", F.lit(float("inf")).alias("value"))
+    first, second = incremental.evolve([(edges(spark, rows[:1]), none), (whole, none, edges(spark, rows[1:]))], lambda live: begin, engine.SSWP)
+    assert not second[1] and {k: v for k, v in values(second[0]).items() if k} == {i: 5.0 for i in range(1, n + 1)}
+
+
+def test_hubs_are_dealt_and_give_the_same(spark, monkeypatch):
+    rows = [(0, i, i) for i in range(1, 40)] + [(i, (i * 7) % 40, 2) for i in range(1, 40)] + [(5, i, 3) for i in range(6, 30)]
+    e = edges(spark, [r for r in rows if r[0] != r[1]])
+    results = lambda: [values(alg.bfs(e, start(spark, 3))), values(alg.sssp(e, start(spark, 3))), values(alg.components(e)), values(alg.pagerank(e)), values(alg.pagerank_delta(e))]
+    plain = results()
+    prepared = engine.prepared
+    monkeypatch.setattr(engine, "prepared", lambda *a, **k: prepared(*a, **k | {"hub": 10}))
+    kept = engine.prepared(e)
+    assert kept.hubs.count() == 2 and kept.heavy.count() >= 60 and sorted(map(tuple, kept.plain().collect())) == sorted(map(tuple, e.collect()))
+    for a, b in zip(plain, results()):
+        assert a == pytest.approx(b)
+
+
+def test_evolving_ranks_equal_from_scratch(spark):
+    rows = [(i, (i * 7 + 3) % 23) for i in range(23)] + [(i, (i * 5 + 1) % 23) for i in range(23)] + [(40, 41), (41, 40)]
+    lives = [rows[:25], rows[3:40] + rows[46:], rows[5:46]]
+    found = incremental.evolve_ranks([(edges(spark, live), edges(spark, [])) for live in lives], 1e-5)
+    for ranks, live in zip(found, lives):
+        assert values(ranks) == pytest.approx(values(alg.pagerank(edges(spark, live), 60, together=10)), abs=2e-3)
+
+
 def test_mutation(spark):
     twice = edges(spark, [(0, 1, 2), (0, 1, 1), (1, 1, 1)])
     assert sorted(map(tuple, mutate.compact(twice).collect())) == [(0, 1, 1.0), (1, 1, 1.0)]
@@ -170,11 +204,18 @@ def test_sources(spark, tmp_path):
     e = edges(spark, DIAMOND)
     raw = tmp_path / "bin"
     raw.mkdir()
-    np.array([[0, 1], [5, 6]], "<i4").tofile(raw / "a")
+    np.array([[0, 1], [5, 6], [-1, 2**31 - 1], [3, 3], [4, 4]], "<i4").tofile(raw / "a")
     (raw / "b").write_bytes(np.array([[7, 8]], "<i4").tobytes() + b"xxx")
-    assert sorted(map(tuple, edge_io.read_binary_files(spark, str(raw)).collect())) == [(0, 1), (5, 6), (7, 8)]
-    edge_io.write_binary(e, str(tmp_path / "w"))
-    assert edge_io.decode_binary(spark.read.parquet(str(tmp_path / "w"))).count() == 4
+    (raw / "c").write_bytes(b"")
+    (raw / "_ignored").write_bytes(b"12345678")
+    for at in (str(raw), f"file://{raw}"):
+        read = edge_io.read_binary(spark, at, split=2)
+        assert sorted(map(tuple, read.collect())) == [(-1, 2**31 - 1), (0, 1), (3, 3), (4, 4), (5, 6), (7, 8)] and read.rdd.getNumPartitions() == 4
+    edge_io.write_binary(e.repartition(3), str(tmp_path / "w"))
+    assert sorted(map(tuple, edge_io.read_binary(spark, str(tmp_path / "w")).collect())) == sorted(r[:2] for r in DIAMOND)
+    assert sum(f.stat().st_size for f in (tmp_path / "w").glob("part-*")) == 8 * 4 and not (tmp_path / "w" / "_temporary").exists()
+    with pytest.raises(Exception, match="32 bits"):
+        edge_io.write_binary(edges(spark, [(3_000_000_000, 1)]), str(tmp_path / "x"))
     lines = spark.createDataFrame([("# x",), ("1 2",), ("3\t4",), ("5",), ("",)], "value string")
     assert sorted(map(tuple, edge_io.parse_text(lines).collect())) == [(1, 2), (3, 4)]
     lists = spark.createDataFrame([("3 2 5 9",), ("4 0",), ("7",)], "value string")
@@ -198,6 +239,8 @@ def test_streaming_ends_like_batch(spark, tmp_path):
     after = mutate.live(spark.read.parquet(str(tmp_path / "log")), 1 << 62)
     assert sorted(map(tuple, after.collect())) == sorted(map(tuple, mutate.live(log, 1 << 62).collect()))
     assert [n for n, _ in seen] == [0, 1, 2, 3]
+    upto = [mutate.live(spark.read.parquet(str(tmp_path / "log")).where(F.col("micro_batch") <= n), 1 << 62).count() for n in range(4)]
+    assert [c for _, c in seen] == upto
     assert sum(r["inserts"] + r["deletes"] for r in runner.counts_by_batch(spark.read.parquet(str(tmp_path / "log"))).collect()) == 40
 
 
@@ -209,6 +252,7 @@ def test_results(spark):
     assert post.footrule(ta, tb).first().asDict() == {"n_common": 3, "footrule": 0}
     same = post.kendall(post.paired(ta, ta), "id_a", "id_b").first()
     assert (same["concordant"], same["discordant"], same["quality_q"]) == (6, 0, 1_000_000)
+    assert same["p_q"] == pytest.approx(1e6 * math.erfc(18 / math.sqrt(4 * 3 * 13 / 2) / math.sqrt(2)), abs=2)
     labels = spark.createDataFrame([(5, 100), (3, 100), (9, 7)], "id long, label long")
     assert values(post.canonical(labels)) == {5: 3, 3: 3, 9: 7}
 
@@ -237,3 +281,33 @@ def test_jobs(spark):
     r.delete("n")
     r.clear()
     assert r.names() == []
+
+
+def test_scheduler(spark):
+    made = lambda name, cpu, of="a": jobs.Job(name, of, lambda e: e.groupBy("src").count(), cpu)
+    groups = jobs.admitted([made("w", 10), made("x", 60), made("y", 50), made("z", 130), made("u", 30, "b")])
+    assert [[j.name for j in g] for g in groups] == [["z"], ["x", "w"], ["y"], ["u"]]
+    model = jobs.CpuModel.fitted([10.0, 50.0, 100.0], [20.0, 60.0, 110.0])
+    assert model.predicted([made("a", 30), made("b", 40)]) == pytest.approx(80) and jobs.CpuModel.fitted([5.0], [9.0]) == jobs.CpuModel()
+    e = edges(spark, DIAMOND)
+    found = jobs.run_groups(spark, groups, {"a": e, "b": e})
+    assert sorted(found) == ["u", "w", "x", "y", "z"] and all(values(f) == {0: 2, 1: 1, 2: 1} for f in found.values())
+    known = jobs.profiled(spark, made("p", 0), e)
+    assert known.seconds > 0 and known.cpu >= 0
+    with pytest.raises(ZeroDivisionError):
+        jobs.run_groups(spark, [[jobs.Job("bad", "a", lambda e: 1 / 0)]], {"a": e})
+
+
+def test_runs_by_options(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    n = graphs.dense(spark, sf).count()
+    base = jobs.EngineConfig(algorithm="bfs", batch_edges=-(-n // 3), deletion_percent=3, write_log=True, write_results=True, vertices_per_tile=64)
+    carried = jobs.execute(spark, sf, base, str(tmp_path / "a")).collect()
+    assert {r["batch_id"] for r in carried} == {0, 1, 2}
+    assert edge_io.read_log(spark, str(tmp_path / "a" / "log")).count() == n and spark.read.parquet(str(tmp_path / "a" / "results")).count() == len(carried)
+    scratch = jobs.execute(spark, sf, jobs.replace(base, incremental=False, write_log=False, write_results=False)).collect()
+    assert sorted(map(tuple, carried)) == sorted(map(tuple, scratch))
+    late = jobs.execute(spark, sf, jobs.replace(base, start_edges=n // 2, write_log=False, write_results=False)).collect()
+    assert sorted(map(tuple, late)) == sorted(tuple(r) for r in carried if r["batch_id"])
+    ranks = jobs.execute(spark, sf, jobs.EngineConfig(algorithm="pagerank_delta", batch_edges=n, incremental=False, delta=0.0)).collect()
+    assert {r["id"]: r["value"] for r in ranks} == pytest.approx(values(alg.pagerank(graphs.dense(spark, sf))))
