@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the word contract: U+0020 and U+0009 to U+000D.
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -88,18 +89,24 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    """About the bytes that a value takes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+        return 8 * (len(kind.elementType) + 1) * F.coalesce(F.size(c), F.lit(0))
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return F.lit(8)
+
+
 def small_enough(df: DataFrame) -> bool:
     """Whether ``df`` may be broadcast: few rows, and few bytes by the sizes of its own columns."""
-    head = df.limit(BROADCAST_ROWS + 1)
-    wide = [c for c, t in df.dtypes if not t.split("(")[0] in _PLAIN]
-    size = F.sum(sum((F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{c}`")))), F.lit(0)) for c in wide), F.lit(8 * len(df.columns)))) if wide else F.count("*") * 8 * len(df.columns)
-    got = head.agg(F.count("*").alias("n"), F.coalesce(size, F.lit(0)).alias("bytes")).first()
+    size = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(8))
+    got = df.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
     return got["n"] <= BROADCAST_ROWS and got["bytes"] <= BROADCAST_BYTES
 
 
-_PLAIN = {"bigint", "int", "smallint", "tinyint", "double", "float", "boolean", "date", "timestamp", "decimal"}
-
-
 def sized_join(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
     """Join that broadcasts ``small`` only when its counted rows and bytes are few."""
     return big.join(F.broadcast(small) if small_enough(small) else small, on, how)

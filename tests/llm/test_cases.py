@@ -106,6 +106,23 @@ def test_pipeline_stages(spark, input_docs, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, input_docs, str(tmp_path)).count() >= input_docs.count()
 
 
+def test_pipeline_from_end_to_end(spark, tmp_path):
+    """run() is the stages one after another, on rows with every defined case and on no rows."""
+    text = [" ".join(f"w{(i * k) % 97}" for k in range(1, 60 + i)) for i in range(12)]
+    rows = [(i, t) for i, t in enumerate(text)] + [(20, text[3]), (20, text[3]), (21, text[4] + " end"), (22, None), (23, ""), (None, text[5] + " x y z"), (24, f"{LONG} a@b.cc")]
+    for name, some in (("full", rows), ("empty", [])):
+        at = tmp_path / name
+        docs(spark, some).write.parquet(str(at / "documents.parquet"))
+        labels(spark, ()).write.parquet(str(at / "labels.parquet"))
+        got = sorted(map(tuple, corpus_pipeline.run(spark, str(at)).select("doc_id", "piece", "start", "length", "ids_crc32").collect()), key=repr)
+        d = spark.read.parquet(str(at / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES:
+            d = stage(spark, d, str(at))
+        assert got == sorted(map(tuple, d.select("doc_id", "piece", "start", "length", "ids_crc32").collect()), key=repr)
+        kept = {r[0] for r in got}
+        assert not kept & {20, 21, 22, 23} and (len(kept) >= 5 if some else not kept)
+
+
 def test_top_k_cases(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.5]), (100, [1.0]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [None, 1.0]), (5, [nan, 1.0]), (6, []), (None, [9.0, 9.0]), (7, [float("inf"), 0.0]), (0, [1.0, 0.5])]

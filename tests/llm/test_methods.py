@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evograph.llm import mixing, near_dedup, packing, pii, pu_quality, quality_rules, queries, toxicity, url_lm, va_topk, warc_fixity
+from evograph.llm import common, mixing, near_dedup, packing, pii, pu_quality, quality_rules, queries, thin, toxicity, url_lm, va_topk, warc_fixity
 from evograph.llm.common import held_out
 
 SF = "/root/testdata/sf0.001"
@@ -387,3 +387,11 @@ def test_language_model_grows_and_prefers_what_it_saw(spark):
     new = spark.createDataFrame([(1, "http://c.net/fr/7"), (2, "http://c.net/de/7"), (3, "x" * 200_000), (4, ""), (5, None)], "page_id long, url string")
     score = {r["page_id"]: r["score"] for r in url_lm.judge(new, large).collect()}
     assert score[1] > score[2] and score[4] == score[5] == 0
+
+
+def test_thinned_side_loses_no_match(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    big = spark.range(20_000).selectExpr("id", "cast(id as string) as text")
+    keys = spark.range(0, 20_000, 7).selectExpr("id as k", "id * 2 as more")
+    assert thin.thin_join(big, keys, "id", "k").count() == keys.count()
+    assert thin.thinned(big, F.col("id"), keys.select("k")).count() < 1.1 * keys.count()
