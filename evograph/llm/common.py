@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 SPACE = "[\\x20\\x09-\\x0D]"
 
 #: Rows and bytes up to which a keyed side table is broadcast; beyond either the join shuffles.
-BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
