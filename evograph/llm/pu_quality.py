@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, held_out, let, stored, words_of
+from .common import forget, free_name, held_out, let, stored, words_of
 
 #: Positives and unlabelled rows that are learned from at most, by hash of the id.
 POSITIVES, UNLABELLED = 10_000, 20_000
@@ -194,6 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     u = docs.join(F.broadcast(ids), "doc_id")  # bounded by ``unlabelled``
     both = p.select("text", F.lit(1).alias("p")).unionAll(u.select("text", F.lit(0).alias("p")))
     rows = with_features(both, "text", "x").select("x", "p").collect()  # bounded samples of eight numbers
+    forget(ids)
     x = {k: np.array(sorted(r["x"] for r in rows if r["p"] == k), float).reshape(-1, len(FEATURES)) for k in (0, 1)}
     return fit(x[1], x[0]) if len(x[0]) and len(x[1]) else Model([], [], [], 0.0, 0.0)
 

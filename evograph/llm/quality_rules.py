@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, let, stored, words_of
+from .common import forget, free_name, let, stored, words_of
 
 WINDOW = 8
 #: Labelled rows that are looked at at most, by hash of the id.
@@ -136,8 +136,8 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tup
     feats = features(F.col("s"))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(3)) == 0
 
-    sample = stored(of.select(fold.alias("fold"), "bad", "times", base_failed(F.col("s")).alias("failed"), *[feats[f].alias(f) for f in FEATURES]), "rules-sample")
-    sample = sample.where("not failed")  # the others are decided already
+    kept = stored(of.select(fold.alias("fold"), "bad", "times", base_failed(F.col("s")).alias("failed"), *[feats[f].alias(f) for f in FEATURES]), "rules-sample")
+    sample = kept.where("not failed")  # the others are decided already
     points = [i / 40 for i in range(41)]
     by_class = sample.groupBy("bad").agg(*[F.percentile_approx(f, points, 10_000).alias(f) for f in FEATURES]).collect()
     if len(by_class) < 2:
@@ -152,6 +152,7 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tup
 
     bins = [binned(f) for f in FEATURES]
     counts = sample.select(F.col("fold").cast("int").alias("fold"), "bad", "times", *bins).groupBy("fold", "bad", *FEATURES).agg(F.sum("times").alias("n")).collect()
+    forget(kept)
     x = np.array([[r[f] for f in FEATURES] for r in counts], int).reshape(-1, len(FEATURES))
     y = np.array([[r["fold"], r["bad"], r["n"]] for r in counts], int).reshape(-1, 3)
     order = np.lexsort((*x.T, *y.T))
