@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, let, sized_join, stored, words_of
+from .common import forget, free_name, let, sized_join, stored, words_of
 
 WEIGHTS = (1, 2, 3)
 #: Most copies of a document, and the most of its size that a source's target may be.
@@ -46,26 +46,37 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", size.alias("size"), u.alias("u"))
 
 
+def ranked(by_source: DataFrame) -> DataFrame:
+    """Adds nth, the place of the source in code-point order, null last: range-partitioned, numbered in partitions and shifted; one row for each partition meets in one task."""
+    order = F.col("source").asc_nulls_last()
+    runs = by_source.repartitionByRange(order).sortWithinPartitions(order)
+    runs = stored(runs.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")), "sorted-sources")
+    sizes = runs.groupBy("part").agg(F.count("*").alias("rows"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    return runs.join(starts, "part").withColumn("nth", F.col("before") + F.col("at")).drop("part", "at", "before")
+
+
 def targets(by_source: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """Adds target to (source, source_size): all words shared by weight, at most ``most`` times the source's own, the excess reshared.
+    """Adds target to (source, source_size, n): all words shared by weight, at most ``most`` times the source's own, the excess reshared.
 
-    Sources in code-point order, null last, weigh as ``weights`` repeating. The shares are
-    those of the one level at which all targets, capped, make up the total; it is found on
-    the sources sorted by the level at which each is full.
+    Sources in code-point order, null last, weigh as ``weights`` repeating. Full sources
+    are set aside and the rest is shared again until none is above; a round is one
+    aggregate over the sources, of which the driver sees two whole numbers.
     """
-    everywhere = Window.partitionBy(F.lit(1))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    n = by_source.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights)).cast("int") + 1).cast("double"))
-    cap = (most * F.col("source_size")).cast("double")
-    n = n.withColumn("cap", cap).withColumn("full", F.col("cap") / F.col("w"))
-    order = Window.orderBy("full", F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    n = n.withColumn("all", F.sum("source_size").over(everywhere)).withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-    n = n.withColumn("left_w", F.sum("w").over(everywhere) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    n = n.withColumn("level", (F.col("all") - F.col("capped")) / F.col("left_w"))
-    # the first source that is not full at the level of those from it on
-    level = F.min(F.when(F.col("level") <= F.col("full"), F.struct("full", "level"))).over(everywhere)["level"]
-    return n.select("source", "source_size", "n", F.least(F.col("cap"), F.col("w") * F.coalesce(level, F.lit(float(most)))).alias("target"))
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights)).cast("int") + 1)
+    n = stored(ranked(by_source).select("source", "source_size", "n", w.cast("long").alias("w"), (most * F.col("source_size")).cast("long").alias("cap")), "weighted-sources")
+    total, weight = n.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    level, full = total / weight if weight else 0.0, None
+    while weight:
+        above = F.col("w") * F.lit(level) >= F.col("cap")
+        now = n.agg(F.count(F.when(above, 1)), F.coalesce(F.sum(F.when(above, F.col("cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~above, F.col("w"))), F.lit(0))).first()
+        if now[0] == full or not now[2]:
+            level = level if now[2] else float("inf")
+            break
+        full, level = now[0], (total - now[1]) / now[2]
+    share = F.col("w") * F.lit(level) if level != float("inf") else F.col("cap").cast("double")
+    return n.select("source", "source_size", "n", F.least(F.col("cap").cast("double"), share).alias("target"))
 
 
 def rate(dual: Column, size: Column, mean: Column, most: int = MOST) -> Column:
@@ -99,10 +110,13 @@ def duals(counts: DataFrame, goals: DataFrame, most: int = MOST, together: int =
     free = base.where((F.col("target") > 0) & (F.col("target") < most * F.col("source_size") * (1 - 1e-12)))
     none = F.lit(None).cast("double")
     state = stored(free.select(F.col("source").alias("s"), "target", "mean", F.col("guess").alias("dual"), none.alias("low"), none.alias("high"), F.lit(1.0).alias("off")), "duals")
+    last = state
     for _ in range(ROUNDS // together):
         for _ in range(together):
             state = newton_step(counts, state, most)
-        state = stored(state, "duals")
+        before, state = last, stored(state, "duals")
+        last = state
+        forget(before)
         if state.where(f"off > {CLOSE}").isEmpty():
             break
     return base.join(state.select("s", "dual"), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "target", "source_size", "mean", "dual")
@@ -158,7 +172,9 @@ def plan(slim: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     goals = stored(targets(by_source, weights, most), "targets")
     rates = stored(duals(counts, goals, most), "rates")
     cuts = stored(shifts(slim, rates, most), "shifts")
-    return stored(rates.join(cuts.select(F.col("source").alias("s"), "shifts"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "mix-plan")
+    out = stored(rates.join(cuts.select(F.col("source").alias("s"), "shifts"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "mix-plan")
+    forget(counts, goals, rates, cuts)
+    return out
 
 
 def copies(size: Column, u: Column, p: Column, most: int = MOST) -> Column:
@@ -185,7 +201,9 @@ def mix_report(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``."""
-    by_source = plan(stored(sizes(docs).drop("doc_id"), "doc-sizes"), weights, most)
+    slim = stored(sizes(docs).drop("doc_id"), "doc-sizes")
+    by_source = plan(slim, weights, most)
+    forget(slim)
     p, n = free_name(docs, "plan"), free_name(docs, "copy")
     side = by_source.select(F.col("source").alias(f"{p}_s"), F.struct("mean", "dual", "shifts").alias(p))
     joined = sized_join(docs, side, F.col("source").eqNullSafe(F.col(f"{p}_s")))
