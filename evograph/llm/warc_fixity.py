@@ -169,9 +169,9 @@ def with_offsets(leaves: DataFrame, closing: int = 4) -> DataFrame:
     return leaves.withColumn("offset", F.coalesce(F.sum(F.col("length") + closing).over(order), F.lit(0)))
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Writes (file_id, record_no, text) as compressed WARC files, one folder for each file_id."""
-    dealt = records.repartition("file_id").sortWithinPartitions("file_id", "record_no")
+def write_warc(records: DataFrame, path: str, files: int) -> None:
+    """Writes (file_id, record_no, text) as compressed WARC files, one folder for each file_id; a task writes a few of about ``files``."""
+    dealt = records.repartition(max(1, min(20_000, -(-files // 4))), "file_id").sortWithinPartitions("file_id", "record_no")
     dealt.select("file_id", F.col("text").alias("value")).write.partitionBy("file_id").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
@@ -227,7 +227,7 @@ def audit_pages(pages: DataFrame, replica_body: Column, path: str, records: int
     page_id, file_id, record_no, offset, length, sha256, root_sha256, replica_root_sha256, status and corrupt for every record.
     """
     spots = manifest(pages.select("page_id", "url", "html"), records)
-    write_warc(in_place(pages, spots, replica_body), path)
+    write_warc(in_place(pages, spots, replica_body), path, (spots.agg(F.max("file_id")).first()[0] or 0) + 1)
     files = stored(read_warc(pages.sparkSession, path, bodies=False).drop("page_id", "url", "body"), "replica-records") if not spots.isEmpty() else spots.drop("page_id")
     found = audit(spots, files, records, fan)
     page = F.regexp_extract("record_id", "^urn:page:(-?[0-9]+)$", 1)
