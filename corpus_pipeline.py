@@ -1,8 +1,13 @@
 """Corpus pipeline: quality rules, near-dedup, personal data, source mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all
-but the last return the columns of ``docs``. Nulls, empty and very long texts, repeated
-rows, empty tables and extra columns are handled as the operators define.
+but the last return the columns of ``docs``.
+
+Defined cases: a null text has no words, so the rules reject it, as they do empty ones; a
+null id is no near copy of anything and is kept; repeated rows of one id and text are one
+document after near-dedup; very long texts are read whole by every stage; ties go to the
+smaller id, or to whole classes of sizes in the mix; empty tables give no rows; columns
+beyond those named here are kept until packing, and never clash with work columns.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evograph.llm import mixing, near_dedup, packing, pii, quality_rules
-from evograph.llm.common import stored, table
+from evograph.llm.common import forget, stored, table
 from evograph.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -56,8 +61,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each result is written and read again by the next stage."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        forget(before)
+    out = STAGES[-1][1](spark, docs, sf_dir)  # its result is written: it reads the documents no more
+    forget(docs)
+    return out
 
 
 #: SQL can express neither learned rules nor the tokenizer.
