@@ -395,3 +395,47 @@ def test_thinned_side_loses_no_match(spark, monkeypatch):
     keys = spark.range(0, 20_000, 7).selectExpr("id as k", "id * 2 as more")
     assert thin.thin_join(big, keys, "id", "k").count() == keys.count()
     assert thin.thinned(big, F.col("id"), keys.select("k")).count() < 1.1 * keys.count()
+
+
+def test_op3_score_by_hand(spark, texts):
+    """The written-out expression equals the model's bins and weights, read in Python."""
+    import regex
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = pu_quality.learn(docs, labels)
+    assert model.cuts
+
+    def features(t):
+        w = words(t)
+        n, chars = max(len(w), 1), max(len(t), 1)
+        count = lambda p: len(regex.findall(p, t))
+        return [math.log1p(len(w)), len(set(w)) / n**0.8, sum(map(len, w)) / n, count(r"[#*$%&|<>=_~^]") / n, count(r"\p{Lu}") / chars, count("[!?]") / n, count(r"\n") / n, count("[0-9]") / chars]
+
+    for r in pu_quality.score(docs, model).collect():
+        at = [bisect.bisect_right(c, x) for c, x in zip(model.cuts, features(texts[r["doc_id"]] or ""))]
+        z = model.bias + sum(w[b] for w, b in zip(model.single, at))
+        for (f, g), w in zip(pu_quality.CROSSED, model.crossed):
+            i, j = pu_quality.FEATURES.index(f), pu_quality.FEATURES.index(g)
+            z += w[at[i] * (len(model.cuts[j]) + 1) + at[j]]
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
+
+
+def test_op8_score_by_hand(spark):
+    """Hits word by word, without an automaton."""
+    data = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(docs, labels)
+    assert model.lexicon
+    pairs = {tuple(p.split()) for p in model.exceptions}
+    whole = {r["doc_id"]: r["text"] for r in docs.collect()}
+    seen = 0
+    for r in toxicity.score(docs, model).collect():
+        w, total, n = toxicity.fold(whole[r["doc_id"]]).split(), 0.0, 0
+        for i, x in enumerate(w):
+            fit = [v for t, v in model.lexicon.items() if (x.startswith(t[:-1]) if t.endswith("*") else x == t)]
+            if fit and not {tuple(w[i : i + 2]), tuple(w[max(i - 1, 0) : i + 1])} & pairs:
+                n, total = n + 1, total + max(fit)
+        z = sum(a * b for a, b in zip(model.weights, (1, math.log1p(total), min(100 * total / max(len(w), 1), 50), float(n > 0))))
+        assert r["n_hits"] == n and r["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-6)
+        seen += n > 0
+    assert seen
