@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,6 +113,13 @@ def sized_join(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataF
     return big.join(F.broadcast(small) if small_enough(small) else small, on, how)
 
 
+def few_rows(batches: Iterator, rows: int = 256) -> Iterator:
+    """Arrow batches in slices of a few rows: what Python makes of long texts is small at any time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for ids whose crc32, as text, is 2 modulo 4 (null ids: of the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, stored
+from .common import few_rows, forget, stored
 
 CAPACITY = 2048
 #: Words whose ids a worker keeps; beyond it the store starts anew.
@@ -65,8 +65,7 @@ class WordCache:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.chunks: dict[str, bytes] = {"": b""}  # a word and its punctuation are chunks too
 
     def one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -77,19 +76,19 @@ class WordCache:
         if len(stops) == len(words) and stops[-1] == len(ids):
             data, at = ids.tobytes(), 0
             for w, stop in zip(words, (stops * 4).tolist()):
-                self.parts[w] = data[at:stop]
+                self.chunks[w] = data[at:stop]
                 at = stop
         else:
-            self.parts.update((w, self.one(w)) for w in words)
+            self.chunks.update((w, self.one(w)) for w in words)
 
     def learn(self, new: set[str]) -> None:
         if len(self.chunks) + len(new) > CACHE_WORDS:
-            self.chunks, self.parts = {"": b""}, {"": b""}
+            self.chunks = {"": b""}
         split, words = {}, set()
         for w in new:
             if m := self.SIMPLE.fullmatch(w.lower()):
                 split[w] = m
-                if m[1] not in self.parts:
+                if m[1] not in self.chunks:
                     words.add(m[1])
             else:
                 self.chunks[w] = self.one(w)
@@ -97,9 +96,9 @@ class WordCache:
         for i in range(0, len(ordered), 2000):
             self.learn_words(ordered[i : i + 2000])
         for w, m in split.items():
-            if m[2] not in self.parts:
-                self.parts[m[2]] = self.one(m[2])
-            self.chunks[w] = self.parts[m[1]] + self.parts[m[2]]
+            if m[2] not in self.chunks:
+                self.chunks[m[2]] = self.one(m[2])
+            self.chunks[w] = self.chunks[m[1]] + self.chunks[m[2]]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -132,7 +131,7 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, place = word_cache(tokenizer_path), TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = cache.ids([text or ""])[0] + stop
