@@ -34,8 +34,18 @@ def close(a: Column, b: Column, relative: float = 1e-4) -> Column:
 
 
 def equal_to(a: Column, b: Column, digits: int = 4) -> Column:
-    """Equal when cut off (not rounded) after ``digits`` decimals."""
-    cut = lambda x: F.when(x >= 0, F.floor(x * 10**digits)).otherwise(F.ceil(x * 10**digits))
+    """Equal when cut off (not rounded) after ``digits`` decimals, as the decimal numbers that they are written as.
+
+    The product with a power of ten may fall on the wrong side of a whole number; quotients
+    are rounded as decimals are, so they tell on which side a number is.
+    """
+    unit = 10.0**digits
+
+    def cut(x: Column) -> Column:
+        size = F.abs(x)
+        k = F.floor(size * unit).cast("double")
+        return F.signum(x) * F.when((k + 1) / unit <= size, k + 1).when(k / unit > size, k - 1).otherwise(k)
+
     return cut(a) == cut(b)
 
 

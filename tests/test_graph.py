@@ -256,6 +256,15 @@ def test_results(spark):
     labels = spark.createDataFrame([(5, 100), (3, 100), (9, 7)], "id long, label long")
     assert values(post.canonical(labels)) == {5: 3, 3: 3, 9: 7}
 
+def test_ranks_are_cut_as_decimals(spark):
+    """Whole millionths, of which those that end with the fourth decimal are cut to themselves."""
+    x = spark.range(0, 4_000_000, 100)
+    same = scalars.equal_to(F.col("id") / 1e6, (F.col("id") + 99) / 1e6) & scalars.equal_to(-F.col("id") / 1e6, -(F.col("id") + 1) / 1e6)
+    assert x.where(~same | scalars.equal_to(F.col("id") / 1e6, (F.col("id") + 100) / 1e6)).count() == 0
+    ranks = x.select("id", (F.col("id") / 1e6).alias("rank"))
+    assert tuple(post.compare_ranks(ranks, x.select("id", ((F.col("id") + 99) / 1e6).alias("rank"))).first()) == (40_000, 0)
+
+
 
 def test_helpers(spark):
     f = spark.createDataFrame([(1.00004, 1.00009), (1.0, 1.1)], "a double, b double")
