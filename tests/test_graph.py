@@ -320,3 +320,38 @@ def test_runs_by_options(spark, tmp_path):
     assert sorted(map(tuple, late)) == sorted(tuple(r) for r in carried if r["batch_id"])
     ranks = jobs.execute(spark, sf, jobs.EngineConfig(algorithm="pagerank_delta", batch_edges=n, incremental=False, delta=0.0)).collect()
     assert {r["id"]: r["value"] for r in ranks} == pytest.approx(values(alg.pagerank(graphs.dense(spark, sf))))
+
+
+def test_one_run_over_the_log_equals_runs_by_batch(spark):
+    rng = np.random.default_rng(5)
+    log = [(int(s), int(t), float(w), int(b), bool(stays)) for s, t, w, b, stays in zip(rng.integers(0, 40, 90), rng.integers(0, 40, 90), rng.integers(1, 9, 90), rng.integers(0, 12, 90), rng.random(90) < 0.7)]
+    df = spark.createDataFrame(log, "src long, tgt long, weight double, since long, stays boolean")
+    send = {"bfs": lambda v, w: v + 1, "sssp": lambda v, w: v + w, "sswp": min, "cc": lambda v, w: v}
+    for name, (program, value) in jobs.PROGRAMS.items():
+        best, want = max if name == "sswp" else min, set()
+        for k in range(12):
+            live = [(s, t, w) for s, t, w, since, stays in log if since == k or (stays and since < k)]
+            now = {v: v for e in live for v in e[:2]} if value is None else {3: value}
+            for _ in range(40):
+                for s, t, w in live:
+                    if s in now:
+                        now[t] = best(now.get(t, send[name](now[s], w)), send[name](now[s], w))
+            want |= {(k, v, x) for v, x in now.items()}
+        begin = None if value is None else start(spark, 3).withColumn("value", F.lit(value))
+        got = [tuple(r) for r in incremental.evolve_log(df, 12, program, begin).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_jobs_do_not_grow_with_the_batches(spark, tmp_path):
+    sf, count = "/root/testdata/sf0.001", []
+    n = graphs.dense(spark, sf).count()
+    for batches in (3, 30):
+        config = jobs.EngineConfig(algorithm="cc", batch_edges=-(-n // batches), deletion_percent=3, write_log=True, write_results=True, vertices_per_tile=64)
+        spark.sparkContext.setJobGroup(f"batches-{batches}", "")
+        try:
+            out = jobs.execute(spark, sf, config, str(tmp_path / str(batches))).count()
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+        assert spark.read.parquet(str(tmp_path / str(batches) / "results")).count() == out
+        count.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"batches-{batches}")))
+    assert 0 < count[1] < 3 * count[0]
