@@ -11,13 +11,14 @@
 3. Where a bucket's other members still lie in several components, the members
    outside its largest component are compared, in blocks, with all the others, so
    that no link between different components goes unseen: signatures first, then the
-   texts of those that have a survivor. A bucket is first cut by its members' other
-   bands where that leaves fewer pairs. No block returns all pairs.
+   texts of those that have a survivor. The members of large buckets meet by their
+   rarest shingles instead (prefix filter) where that leaves fewer pairs; no pair that
+   reaches the threshold is lost by it. No block returns all pairs.
 4. Components by repeated contraction of the links to the smallest label.
 
 A hot bucket or hub is dealt over many units (salts, blocks); a unit holds a bounded
 block and streams the other side. Bands miss a pair of similarity 0.8 with
-probability (1 - 0.8**rows)**bands, a cut by other bands with that of one band fewer.
+probability (1 - 0.8**rows)**bands; nothing is cut from a bucket, whatever its size.
 
 Defined cases: null and empty texts have no shingles and no links; a null id has a
 null component and is kept; rows that repeat an id are one document (each row counts
@@ -51,6 +52,8 @@ CACHE_WORDS = 150_000
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 400_000
 #: Rows that stream by a unit's block, and members of a hub's star that one unit compares.
 STREAM, STAR = 512, 512
+#: Slots in which shingles are counted, for the order of their rarity.
+SLOTS = 1 << 20
 
 _M = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -341,27 +344,74 @@ def components(links: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def divided(left: DataFrame, members: DataFrame) -> DataFrame:
-    """Open buckets (key, id, n_shingles, label), cut by their members' other bands where that leaves fewer pairs.
+def _rarity(texts: DataFrame, n: int) -> np.ndarray:
+    """Times that shingles fall in each of SLOTS slots of their hashes; bounded, whatever the number of shingles."""
 
-    A pair of similarity 0.8 that shares a band shares another one with probability
-    1 - (1 - 0.8**rows)**(bands - 1). A part that lies in one component is left out.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(SLOTS, np.int64)
+        for batch in few_rows(batches):
+            for text in _texts(batch, 0):
+                np.add.at(found, shingles(text, n) % np.uint64(SLOTS), 1)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["slot", "n"])
+
+    table = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[table.column(0).to_numpy()] = table.column(1).to_numpy()
+    return out
+
+
+def rarest(s: np.ndarray, rarity: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set in the order of ``rarity``, then hash: sets that reach the threshold have one of these in common."""
+    most = len(s) + percent * len(s) // -100 + 1  # at least percent of either set is in both: the first of those is here
+    return s[np.lexsort((s, rarity[(s % np.uint64(len(rarity))).astype(np.int64)]))[:most]]
+
+
+def prefixes(texts: DataFrame, n: int, percent: int, rarity: np.ndarray) -> DataFrame:
+    """key, id, n_shingles, label: a row for each of the ``rarest`` shingles of ``texts`` (id, n_shingles, label, text)."""
+    sent = texts.sparkSession.sparkContext.broadcast(rarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_rows(batches):
+            keys = [rarest(shingles(text, n), sent.value, percent) for text in _texts(batch, 3)]
+            rows = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), *[batch.column(c).take(pa.array(rows)) for c in range(3)]], ["key", "id", "n_shingles", "label"])
+
+    return texts.select("id", "n_shingles", "label", "text").mapInArrow(run, "key long, id long, n_shingles long, label long")
+
+
+def _work(rows: DataFrame) -> DataFrame:
+    """key, pairs: what the blocks compare in a bucket, its members outside its largest component with all."""
+    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.max("c").alias("main"))
+    return sizes.select("key", ((F.col("all") - F.col("main")).cast("double") * F.col("all")).alias("pairs"))
+
+
+def divided(docs: DataFrame, left: DataFrame, n: int, percent: int) -> DataFrame:
+    """Open buckets (key, id, n_shingles, label); the members of large ones meet by their rarest shingles instead, where that leaves fewer pairs.
+
+    No pair that reaches the threshold is lost, as it has one of these shingles in common:
+    what is cut holds no link. Parts that lie in one component are left out, and of parts
+    with the same members all but one.
     """
-    size = left.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 16 * BLOCK_DOCS)
-    large = stored(size, "large-buckets")
+    large = stored(_work(left).where(F.col("pairs") > (16 * BLOCK_DOCS) ** 2), "large-buckets")
     if large.isEmpty():
         return left
-    other = members.select("id", F.col("key").alias("other"))
-    in_large = sized_join(left, large, "key", "inner")
-    parts = stored(in_large.join(other, "id").where("key <> other"), "cut-members")
-    counts = stored(parts.groupBy("key", "other", "size").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high")), "cut-sizes")
-    total = F.sum(F.when(F.col("low") != F.col("high"), F.col("c").cast("double") * F.col("c")).otherwise(0.0))
-    pays = stored(counts.groupBy("key", "size").agg(total.alias("pairs")).where(F.col("pairs") < F.col("size").cast("double") * F.col("size")).select("key"), "cut-keys")
-    mixed = counts.where("low <> high").select("key", "other")
-    cut = sized_join(sized_join(parts, pays, "key", "left_semi"), mixed, ["key", "other"], "left_semi")
-    # two large buckets that cut each other make one part
-    cut = cut.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id", "n_shingles", "label").distinct()
-    return stored(sized_join(left, pays, "key", "left_anti").unionAll(cut), "divided")
+    keys = large.select("key")
+    ids = stored(sized_join(left, keys, "key", "left_semi").select("id", "n_shingles", "label").distinct(), "large-members")
+    texts = stored(thin_join(docs.select("doc_id", "text"), ids, "doc_id", "id").select("id", "n_shingles", "label", "text"), "large-texts")
+    found = stored(prefixes(texts, n, percent, _rarity(texts, n)).distinct(), "prefixes")
+    forget(texts, ids)
+    same = [F.bit_xor(F.xxhash64("id", F.lit(seed))).alias(f"same_{seed}") for seed in (1, 2)]
+    parts = found.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high"), *same).where("low <> high")
+    parts = stored(parts.groupBy("c", "same_1", "same_2").agg(F.min("key").alias("key")).select("key"), "parts")
+    cut = stored(sized_join(found, parts, "key", "left_semi"), "cut-members")
+    forget(found, parts)
+    before, after = (df.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0] for df in (large, _work(cut)))
+    if after >= before:
+        forget(cut)
+        return left
+    return stored(sized_join(left, keys, "key", "left_anti").unionByName(cut), "divided")
 
 
 def label(docs: DataFrame, n: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
@@ -402,7 +452,7 @@ def label(docs: DataFrame, n: int = 5, percent: int = 80, miss: float = MISS) ->
     left = stored(sized_join(left, labels, "id").select("key", "id", "n_shingles", F.coalesce("label", "id").alias("label")), "left")
     open_ = stored(left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), "open")
     if not open_.isEmpty():
-        left = divided(stored(sized_join(left, open_, "key", "inner"), "open-members"), members)
+        left = divided(docs, stored(sized_join(left, open_, "key", "inner"), "open-members"), n, percent)
         sizes = left.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("w"))
         sizes = stored(sizes, "open-sizes")
         per_key = sizes.groupBy("key").agg(F.max(F.struct("c", (-F.col("label")).alias("low"))).alias("top"), F.sum("c").alias("all_docs"), F.sum("w").alias("all_w"))

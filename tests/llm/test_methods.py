@@ -251,6 +251,50 @@ def test_near_group_around_the_threshold(spark):
     assert got == exact_components(texts, 4)
 
 
+def bucket_with_a_pair(n):
+    """Texts of one bucket of a band: 0 to 29 have little in common but five shingles; 30 and 31 are similar, and share no other band."""
+    rng, pair = random.Random(8), None
+    code = lambda words: near_dedup.shingles(" ".join(words).encode(), n)
+    while pair is None:
+        a = [f"w{rng.random()}" for _ in range(26 + n)]
+        keys = near_dedup.band_keys(near_dedup.signature(code(a)))
+        for _ in range(300):
+            b = [*a[:-3], f"x{rng.random()}", *a[-2:]]  # 24 of 30 shingles in common
+            shared = np.flatnonzero(near_dedup.band_keys(near_dedup.signature(code(b))) == keys)
+            if len(shared) == 1 and near_dedup.similar(code(a), code(b), 80):
+                pair = a, b
+                break
+    band, key, sig = shared[0], keys[shared[0]], near_dedup.signature(code(a))
+    rows = slice(band * near_dedup.ROWS, (band + 1) * near_dedup.ROWS)
+    grams = [a[i : i + n] for i in range(27)]
+    least = [g for g in grams if (near_dedup.signature(code(g))[rows] == sig[rows]).any()]
+    out = []
+    while len(out) < 30:
+        words = [w for g in least for w in [f"z{rng.random()}" for _ in range(2)] + g]
+        if near_dedup.band_keys(near_dedup.signature(code(words)))[band] == key:
+            out.append(words)
+    return {i: " ".join(w) for i, w in enumerate([*out, *pair])}
+
+
+def test_pair_of_a_large_bucket_that_shares_no_other_band(spark, monkeypatch):
+    texts = bucket_with_a_pair(4)
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 1)  # a bucket of more than 16 is large
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.label(df, n=4).collect()}
+    assert got == exact_components(texts, 4) and got[31][1] == 30
+
+
+def test_rarest_shingles_meet_whatever_their_order():
+    rng = np.random.default_rng(6)
+    for size in (1, 2, 5, 9, 40, 41):
+        for _ in range(300):
+            both = np.unique(rng.integers(0, 1 << 60, size, np.uint64))
+            a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 60, rng.integers(0, 1 + size // 4), np.uint64)])) for _ in range(2))
+            rarity = rng.integers(0, 3, 64)
+            if near_dedup.similar(a, b, 80):
+                assert len(np.intersect1d(near_dedup.rarest(a, rarity, 80), near_dedup.rarest(b, rarity, 80)))
+
+
 def test_fewest_matches_bounds_the_posterior():
     n, least = near_dedup.fewest_matches(0.8, 160, 1e-6)[-1]
     rng = np.random.default_rng(1)
