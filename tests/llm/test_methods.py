@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from evograph.llm import common, mixing, near_dedup, packing, pii, pu_quality, quality_rules, queries, thin, toxicity, url_lm, va_topk, warc_fixity
 from evograph.llm.common import held_out
 
@@ -273,6 +274,7 @@ def bucket_with_a_pair(n):
         words = [w for g in least for w in [f"z{rng.random()}" for _ in range(2)] + g]
         if near_dedup.band_keys(near_dedup.signature(code(words)))[band] == key:
             out.append(words)
+    out[29] = [*out[28], "end"]  # these two share other bands
     return {i: " ".join(w) for i, w in enumerate([*out, *pair])}
 
 
@@ -284,6 +286,13 @@ def test_pair_of_a_large_bucket_that_shares_no_other_band(spark, monkeypatch):
     assert got == exact_components(texts, 4) and got[31][1] == 30
 
 
+def test_pipeline_stage_drops_the_copy_in_a_large_bucket(spark, monkeypatch):
+    texts = bucket_with_a_pair(5)
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 1)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near-dedup"](spark, df, "").collect()} == {*range(29), 30}
+
+
 def test_rarest_shingles_meet_whatever_their_order():
     rng = np.random.default_rng(6)
     for size in (1, 2, 5, 9, 40, 41):
