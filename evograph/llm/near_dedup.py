@@ -402,7 +402,8 @@ def divided(docs: DataFrame, left: DataFrame, n: int, percent: int) -> DataFrame
     texts = stored(thin_join(docs.select("doc_id", "text"), ids, "doc_id", "id").select("id", "n_shingles", "label", "text"), "large-texts")
     found = stored(prefixes(texts, n, percent, _rarity(texts, n)).distinct(), "prefixes")
     forget(texts, ids)
-    same = [F.bit_xor(F.xxhash64("id", F.lit(seed))).alias(f"same_{seed}") for seed in (1, 2)]
+    # an id may have rows of several sizes: hashed with the size, no two rows of a part cancel each other
+    same = [F.bit_xor(F.xxhash64(F.lit(seed), "id", "n_shingles")).alias(f"same_{seed}") for seed in (1, 2)]
     parts = found.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high"), *same).where("low <> high")
     parts = stored(parts.groupBy("c", "same_1", "same_2").agg(F.min("key").alias("key")).select("key"), "parts")
     cut = stored(sized_join(found, parts, "key", "left_semi"), "cut-members")

@@ -293,6 +293,22 @@ def test_pipeline_stage_drops_the_copy_in_a_large_bucket(spark, monkeypatch):
     assert {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near-dedup"](spark, df, "").collect()} == {*range(29), 30}
 
 
+def test_parts_of_repeated_ids_are_all_kept(spark, monkeypatch):
+    """Ids with two texts each, in one large bucket: each pair of similar texts meets."""
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 1)
+    words = lambda stem, n: [f"{stem}.{i}" for i in range(n)]
+    rows = []
+    for p in range(12):
+        both = words(f"p{p}", 40)
+        for i, text in ((2 * p, both), (2 * p + 1, [*both, "end"])):
+            rows += [(i, " ".join(text)), (i, " ".join(words(f"other{i}", 60)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = near_dedup.digests(docs, 4).select(F.lit(1).cast("long").alias("key"), F.col("doc_id").alias("id"), "n_shingles", F.col("doc_id").alias("label"))
+    a, b = (near_dedup.divided(docs, left, 4, 80).select("key", F.col("id").alias(c)) for c in "ab")
+    met = {(r["a"], r["b"]) for r in a.join(b, "key").where("a < b").collect()}
+    assert {(2 * p, 2 * p + 1) for p in range(12)} <= met
+
+
 def test_rarest_shingles_meet_whatever_their_order():
     rng = np.random.default_rng(6)
     for size in (1, 2, 5, 9, 40, 41):
