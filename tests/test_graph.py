@@ -1,6 +1,7 @@
 """Operators on tiny graphs, and equalities between different ways to the same result."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from evograph.operators import algorithms as alg
 from evograph.operators import engine, incremental, mutate, post, tiles
 from evograph.operators.sequence import rewrite, with_sequence
 from evograph.plans import queries
+from evograph.session import cut
 from evograph.sources import edge_io, graphs
 from evograph.streaming import runner
 
@@ -355,3 +357,43 @@ def test_jobs_do_not_grow_with_the_batches(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / str(batches) / "results")).count() == out
         count.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"batches-{batches}")))
     assert 0 < count[1] < 3 * count[0]
+
+
+def test_results_of_batches_become_rows_only_where_they_are_written(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    n = graphs.dense(spark, sf).count()
+    config = jobs.EngineConfig(algorithm="cc", batch_edges=-(-n // 300), deletion_percent=3, write_results=True)
+    spark.sparkContext.setJobGroup("batches-300", "")
+    try:
+        out = jobs.execute(spark, sf, config, str(tmp_path))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    found, tracker, store = spark.read.parquet(str(tmp_path / "results")).select(*out.columns), spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    rows = out.count()
+    assert found.count() == rows and found.exceptAll(out).isEmpty()
+    stages = {s for j in tracker.getJobIdsForGroup("batches-300") for s in tracker.getJobInfo(j).stageIds}
+    # supersteps pass on messages, the snapshots' writer spans; neither has a row for each batch
+    assert 0 < max(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages) < rows / 2
+
+
+def test_labels_begin_once(spark):
+    log = [(1, 2, k, True) for k in range(3, 9)] + [(1, 3, 1, False), (1, 3, 1, False), (2, 1, 5, False)]
+    got = incremental.labelled(spark.createDataFrame(log, "src long, tgt long, since long, stays boolean"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, False, 1), (1, 3, True, 1), (2, 3, True, 2), (3, 1, False, 3)]
+
+
+def test_snapshots_in_parts_and_of_some_batches(spark, tmp_path):
+    spans = [(i, i % 4, 10, float(i % 3)) for i in range(0, 40_000, 8)] + [(3, 2, 2, 7.0), (3, 5, 6, 8.0)]
+    edge_io.write_snapshots(spark.createDataFrame(spans, "id long, first long, last long, value double"), str(tmp_path / "r"), [0, 2, 5, 10], rows=1000, together=3)
+    got = spark.read.parquet(str(tmp_path / "r")).select("batch_id", "id", "value").collect()
+    assert sorted(map(tuple, got)) == sorted((k, i, v) for i, a, b, v in spans for k in range(a, b + 1) if k in (0, 2, 5, 10))
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+    before = files()
+    kept = cut(spark.range(10_000).repartition(3, "id"))
+    end = time.time() + 20
+    while (left := files() - before) and time.time() < end:  # they go soon after
+        time.sleep(0.2)
+    assert not left and kept.count() == 10_000
